@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rangeloom.llm import langid, quality, toxicity
+from rangeloom.llm import jaccard, langid, quality, toxicity
 from rangeloom.llm.bpe import bpe_digest
 from rangeloom.llm.chat import chat_digest
 from rangeloom.llm.common import table
@@ -22,6 +22,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(docs, labels)
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -45,6 +49,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_toxicity": op3_toxicity,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_bpe": op5_bpe,
     "op6_language_id": op6_language_id,
     "op7_quality": op7_quality,
