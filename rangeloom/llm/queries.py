@@ -10,7 +10,14 @@ from rangeloom.llm import jaccard, langid, quality, toxicity
 from rangeloom.llm.bpe import bpe_digest
 from rangeloom.llm.chat import chat_digest
 from rangeloom.llm.common import table
+from rangeloom.llm.covertree import near_pairs
+from rangeloom.llm.lmscore import cross_entropy_difference
 from rangeloom.llm.packing import pack_documents
+from rangeloom.llm.topk import quantised, top_k
+
+
+def op1_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_pairs(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +46,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, labels)
 
 
+def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quantised(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+    return top_k(rows.filter("vec_id % 50 = 0"), rows)
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
@@ -46,17 +58,48 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digest(rows.unionByName(more))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels", "doc_id", "quality").withColumnRenamed("quality", "target")
+    return cross_entropy_difference(table(spark, sf_dir, "documents", "doc_id", "text"), labels)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_neardup": op1_embedding_neardup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_toxicity": op3_toxicity,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_bpe": op5_bpe,
     "op6_language_id": op6_language_id,
     "op7_quality": op7_quality,
+    "op8_topk_search": op8_topk_search,
     "op9_chat_format": op9_chat_format,
+    "op10_lm_score": op10_lm_score,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_embedding_neardup": """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+)
+SELECT v.vec_id, (SELECT count(*) FROM links WHERE links.a = v.vec_id) AS n_links,
+       (SELECT min(b) FROM reach WHERE reach.a = v.vec_id) AS component_id,
+       v.vec_id = (SELECT min(b) FROM reach WHERE reach.a = v.vec_id) AS kept
+FROM v
+""",
+    "op8_topk_search": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+""",
     "op9_chat_format": r"""
 WITH rows AS (
   SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
