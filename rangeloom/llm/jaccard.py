@@ -254,7 +254,7 @@ def _needed_bits(ids: DataFrame, n: int) -> tuple[np.ndarray, int]:
     bits = min(26, max(12, (16 * max(n, 1)).bit_length()))
     at = F.pmod(F.xxhash64("id"), F.lit(1 << bits))
     bit = F.expr("shiftleft(1L, cast(at % 64 AS int))")
-    words = ids.select(at.alias("at")).select(F.expr("cast(at div 64 AS int)").alias("w"), bit.alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits")).toPandas()
+    words = ids.select(at.alias("at")).select(F.expr("cast(at div 64 AS int)").alias("w"), bit.alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow().to_pandas()
     out = np.zeros(1 << max(bits - 6, 0), "int64")
     out[words["w"].to_numpy()] = words["bits"].to_numpy()
     return out, bits

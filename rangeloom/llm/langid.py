@@ -78,7 +78,7 @@ def fit(docs: DataFrame, per_language: int = 1500, languages: int = 200) -> Mode
             at = np.flatnonzero(cells)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at, pa.int32()), pa.array(cells[at])], ["lang", "cell", "share"])
 
-    rows = sample.select("lang", "text").mapInArrow(count, "lang string, cell int, share double").groupBy("lang", "cell").agg(F.sum("share").alias("share")).toPandas()
+    rows = sample.select("lang", "text").mapInArrow(count, "lang string, cell int, share double").groupBy("lang", "cell").agg(F.sum("share").alias("share")).toArrow().to_pandas()
     names = tuple(sorted(set(rows["lang"])))
     if not names:
         return Model((), np.zeros((0, 1)), np.zeros((1 << BITS, 1)), np.ones(1))

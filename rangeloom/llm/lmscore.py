@@ -63,7 +63,7 @@ def fit(docs: DataFrame, marks: DataFrame, path: str | None = None) -> tuple[Mod
             opening = np.array([start], "uint32").tobytes()
             for text, target in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if ids := bpe.encode(text):
-                    held[target] += [opening, ids]
+                    held[target].extend((opening, ids))
             for own in (0, 1):
                 ids = np.frombuffer(b"".join(held[own]), "uint32")
                 _, cells = neighbours(ids, start)
@@ -78,7 +78,7 @@ def fit(docs: DataFrame, marks: DataFrame, path: str | None = None) -> tuple[Mod
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(total[1, own]), pa.array(total.sum(0)[own])], ["cell", "target", "background"])
 
     sums = rows.mapInArrow(count, "cell int, target long, background long").groupBy("cell").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-    found = sums.toPandas()  # one row a cell at most
+    found = sums.toArrow().to_pandas()  # one row a cell at most
     size = len(load(path).text_of)
     models = []
     for name in ("target", "background"):

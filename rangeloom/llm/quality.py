@@ -63,7 +63,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 4096) -> Model | None:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x.tobytes() for x in grams]), pa.array([x.tobytes() for x in shapes])], ["doc_id", "label", "grams", "shapes"])
 
     schema = f"doc_id {dict(found.dtypes)['doc_id']}, label {dict(found.dtypes)['label']}, grams binary, shapes binary"
-    rows = found.mapInArrow(run, schema).toPandas().sort_values(["doc_id", "grams"], ignore_index=True)
+    rows = found.mapInArrow(run, schema).toArrow().to_pandas().sort_values(["doc_id", "grams"], ignore_index=True)
     if rows.empty:
         return None
     parts = tuple(np.frombuffer(b"".join(rows[c]), "float32").reshape(len(rows), -1) for c in ("grams", "shapes"))

@@ -123,7 +123,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, block: int = BL
     found = None
     for at in range(blocks):
         own = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == at)
-        rows = own.toPandas().sort_values("vec_id")  # about a block: bounded
+        rows = own.toArrow().to_pandas().sort_values("vec_id")  # about a block: bounded
         sides = []
         for length, group in rows.groupby(rows["v"].map(len)):
             sides.append(side(group["vec_id"].to_numpy("int64"), np.array(group["v"].tolist(), "int64").reshape(-1, length)))

@@ -211,7 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 8000) -> Model | None:
             found = [matches(t, lexicon, fst).tolist() for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.float64()))], ["label", "x"])
 
-    rows = labelled.select("text", "label").mapInArrow(features, "label int, x array<double>").toPandas()
+    rows = labelled.select("text", "label").mapInArrow(features, "label int, x array<double>").toArrow().to_pandas()
     if rows.empty:
         return None
     x = np.array(rows["x"].tolist())
