@@ -9,7 +9,9 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from functools import cached_property
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,10 @@ from rangeloom.plans.skeleton import CONDITIONAL, CostModel, Skeleton, correlati
 from rangeloom.plans.tree import Node, TreeOptions, build_tree, region_column
 
 
+#: Cells that the driver may hold as a zone map.
+ZONE_MAP_CELLS = 200_000
+
+
 @dataclass(frozen=True)
 class LayoutOptions:
     """``max_cells`` bounds the cells of a region, and with the tree's ``max_regions`` the size of the zone map."""
@@ -76,6 +82,13 @@ class Layout:
     def cells(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/cells")
 
+    @cached_property
+    def zone_map(self) -> pd.DataFrame | None:
+        """The cells on the driver, or None where they are more than ZONE_MAP_CELLS: then plans read them as a table."""
+        if self.cells.limit(ZONE_MAP_CELLS + 1).count() > ZONE_MAP_CELLS:
+            return None
+        return self.cells.toArrow().to_pandas()
+
     @staticmethod
     def open(spark: SparkSession, path: str) -> Layout:
         meta = json.loads(spark.read.text(f"{path}/meta").first()["value"])

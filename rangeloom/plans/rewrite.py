@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,20 +71,69 @@ def boundary_rows(layout: Layout, where: Selection, cells: CellSplit, extra: lis
     return pruned.join(cells.boundary.select("region_id", "cell_id"), ["region_id", "cell_id"], "left_semi")
 
 
+#: Boundary cells that a plan may list one by one; beyond that it joins them.
+LISTED_CELLS = 2000
+
+
+def _masks(zone_map: pd.DataFrame, where: Selection) -> tuple[pd.Series, pd.Series]:
+    """Which cells a selection touches, and which lie inside it wholly."""
+    hit = pd.Series(not where.empty, zone_map.index)
+    whole = hit.copy()
+    for c, r in where.ranges.items():
+        lo, hi = zone_map[f"min_{c}"], zone_map[f"max_{c}"]
+        if r.lo is not None:
+            hit &= hi > r.lo if r.lo_open else hi >= r.lo
+            whole &= lo > r.lo if r.lo_open else lo >= r.lo
+        if r.hi is not None:
+            hit &= lo < r.hi if r.hi_open else lo <= r.hi
+            whole &= hi < r.hi if r.hi_open else hi <= r.hi
+    for c, v in where.unequal:
+        whole &= (zone_map[f"min_{c}"] > v) | (zone_map[f"max_{c}"] < v)
+    return hit, hit & whole
+
+
+def _from_zone_map(layout: Layout, where: Selection, columns: list[str]) -> list[DataFrame] | None:
+    """Partials of a clean layout planned on the driver: whole cells as one row of constants, the others as one scan.
+
+    None where the zone map or the list of boundary cells is too large for that.
+    """
+    zone_map = layout.zone_map
+    if zone_map is None:
+        return None
+    hit, whole = _masks(zone_map, where)
+    edge = zone_map[hit & ~whole]
+    if len(edge) > LISTED_CELLS:
+        return None
+    sure = zone_map[whole]
+    out = []
+    if len(sure):
+        values = [int(sure["n"].sum())] + [float(getattr(sure[f"{f}_{c}"], f)()) for c in columns for f in ("sum", "min", "max")]
+        names = ["n bigint", *[f"{f}_{c} double" for c in columns for f in ("sum", "min", "max")]]
+        out.append(layout.spark.createDataFrame([tuple(values)], ", ".join(names)))
+    if len(edge) or not out:
+        key = F.col("region_id").cast("long") * (1 << 20) + F.col("cell_id")
+        codes = (edge["region_id"].astype("int64") * (1 << 20) + edge["cell_id"]).tolist()
+        rows = layout.main.filter(F.col("region_id").isin(sorted(set(edge["region_id"].tolist())))).filter(key.isin(codes)).filter(where.predicate())
+        out.append(rows.agg(*partials(columns)))
+    return out
+
+
 def answer(layout: Layout, query: RangeQuery, tombstones: DataFrame | None = None, delta: DataFrame | None = None) -> DataFrame:
     """One row: each aggregate and n_matched, equal to filtering and aggregating the live rows."""
     columns = sorted({a.column for a in query.aggregates if a.column})
     where = tightened(layout, query.where)
-    cells = split_cells(layout, where, tombstones)
-    rows = boundary_rows(layout, where, cells)
-    if tombstones is not None:
-        rows = rows.join(tombstones.select("_row_id"), "_row_id", "left_anti")
-    keep = ["n", *[f"{f}_{c}" for c in columns for f in ("sum", "min", "max")]]
-    parts = cells.interior.select(*keep).unionByName(rows.agg(*partials(columns)))
+    parts = _from_zone_map(layout, where, columns) if tombstones is None else None
+    if parts is None:
+        cells = split_cells(layout, where, tombstones)
+        rows = boundary_rows(layout, where, cells)
+        if tombstones is not None:
+            rows = rows.join(tombstones.select("_row_id"), "_row_id", "left_anti")
+        keep = ["n", *[f"{f}_{c}" for c in columns for f in ("sum", "min", "max")]]
+        parts = [cells.interior.select(*keep), rows.agg(*partials(columns))]
     if delta is not None:
         # the maps were fitted without these rows
-        parts = parts.unionByName(delta.filter(query.where.predicate()).agg(*partials(columns)))
-    return merged(parts, query.aggregates)
+        parts.append(delta.filter(query.where.predicate()).agg(*partials(columns)))
+    return merged(reduce(DataFrame.unionByName, parts), query.aggregates)
 
 
 def scan_metrics(layout: Layout, query: RangeQuery) -> DataFrame:
