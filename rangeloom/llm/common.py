@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rangeloom.sources.shared import fresh_path
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns of a table. Only Spark's readers touch the path, so any store will do."""
@@ -15,22 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="rangeloom-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
 def written(df: DataFrame, *partition_by: str) -> DataFrame:
     """Cut the lineage: write df as Parquet into the shared folder and read it back.
 
     Lost executors cost only the tasks they ran: the files stay readable for every other one.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    path = fresh_path(spark, "stage")
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -51,3 +41,14 @@ def bounded_sample(df: DataFrame, key: str, bound: int, seed: int = 7) -> DataFr
         return df
     cut = int(bound / n * (1 << 30))
     return df.filter(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)) < cut)
+
+
+def free_names(taken: list[str], *names: str) -> list[str]:
+    """The names, each with underscores added until no column of a table has it."""
+    used, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        out.append(name)
+        used.add(name.lower())
+    return out

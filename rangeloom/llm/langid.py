@@ -25,8 +25,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rangeloom.llm.common import fold
+from rangeloom.llm.common import fold, free_names
 from rangeloom.llm.grams import gram_counts
 
 ORDERS, BITS = (1, 2, 3), 14
@@ -103,8 +104,8 @@ def decode(margins: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
     return loss.argmin(1), evidence / evidence.sum(1, keepdims=True)
 
 
-def predict(docs: DataFrame, model: Model, ambiguous_below: float = 0.6) -> DataFrame:
-    """docs (doc_id, text, further columns kept) with lang_pred, score and ambiguous."""
+def predict(docs: DataFrame, model: Model, ambiguous_below: float = 0.6, names: tuple[str, str, str] = ("lang_pred", "score", "ambiguous")) -> DataFrame:
+    """docs (text and further columns, all kept) with the language, its share of the evidence, and ambiguity, by these names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,13 +123,10 @@ def predict(docs: DataFrame, model: Model, ambiguous_below: float = 0.6) -> Data
                 for k, b, e in zip(at, best, evidence):
                     lang[k], score[k] = m.languages[b], e[b]
             unsure = (score > 0) & (score < ambiguous_below)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(unsure)], [*batch.schema.names, "lang_pred", "score", "ambiguous"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(unsure)], [*batch.schema.names, *names])
 
-    kept = docs.drop("lang_pred", "score", "ambiguous")
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
-    return kept.mapInArrow(run, schema)
+    types = (T.StringType(), T.DoubleType(), T.BooleanType())
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in zip(names, types))]))
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -139,4 +137,5 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents that have a language; those without a letter are rejected."""
-    return predict(docs, fit(docs)).filter("lang_pred <> 'und'").select(*docs.columns)
+    names = tuple(free_names(docs.columns, "lang_pred", "score", "ambiguous"))
+    return predict(docs, fit(docs), names=names).filter(F.col(names[0]) != "und").select(*docs.columns)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rangeloom.llm.common import bounded_sample, fold, written
+from rangeloom.llm.common import bounded_sample, fold, free_names, written
 
 PARTS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 TOKENS = re.compile(r"[^\W\d_]+|[.!?;:\n]")
@@ -220,22 +220,21 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 8000) -> Model | None:
     return Model(insults, w[:-1], float(w[-1]))
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs (text and further columns, kept) with score."""
-    kept = docs.drop("score")
+def predict(docs: DataFrame, model: Model | None, name: str = "score") -> DataFrame:
+    """docs (text and further columns, all kept) with the score by this name."""
     if model is None:
-        return kept.withColumn("score", F.lit(0.0))
+        return docs.withColumn(name, F.lit(0.0))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = kept.columns.index("text")
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, fst = shared.value, grammar()
         lexicon = Lexicon(m.insults)
         for batch in batches:
             z = [float(matches(t, lexicon, fst) @ m.weights + m.bias) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(np.array(z), -30, 30))))], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(np.array(z), -30, 30))))], [*batch.schema.names, name])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -247,4 +246,5 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents whose score stays under the threshold."""
-    return predict(docs, fit(docs, labels)).filter(F.col("score") < THRESHOLD).select(*docs.columns)
+    (name,) = free_names(docs.columns, "score")
+    return predict(docs, fit(docs, labels), name).filter(F.col(name) < THRESHOLD).select(*docs.columns)
