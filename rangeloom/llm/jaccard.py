@@ -37,8 +37,8 @@ from rangeloom.llm.components import components
 
 WIDTH = 5
 #: Cells of a parity sketch, entries of a bucket (a task's memory), entries gathered before a task hands them on,
-#: members of a list part, and the nearest partners that a set proposes in the first rounds.
-CELLS, BUCKET, FLUSH, PART, NEAREST = 2048, 3_000_000, 1_500_000, 2048, 3
+#: members of a list part and of a task that handles many lists, and the nearest partners that a set proposes at first.
+CELLS, BUCKET, FLUSH, PART, CHUNK, NEAREST = 2048, 3_000_000, 1_500_000, 2048, 20_000, 3
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -206,45 +206,56 @@ def _lists(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["list", "part", "left", "right"])
 
 
-def _folded(sketches: pd.Series, n: np.ndarray) -> np.ndarray:
-    """Sketches folded to as many cells as the sizes need, as +1 and -1."""
-    bits = np.unpackbits(np.frombuffer(b"".join(sketches), "uint8").reshape(len(sketches), -1), axis=1)
+def _may_link(n: np.ndarray, m: np.ndarray, differ: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes that differ in so many shingles at least can still link."""
+    return (9 * differ <= n + m) & (5 * np.minimum(n, m) >= 4 * np.maximum(n, m))
+
+
+def _of_list(n: np.ndarray, comp: np.ndarray, side: np.ndarray, bits: np.ndarray, nearest: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of one list part that may link across components; at most ``nearest`` partners of each set, or all."""
     cells = int(min(CELLS, max(512, 1 << int(4 * n.max() - 1).bit_length())))
-    bits = np.bitwise_xor.reduce(bits.reshape(len(bits), CELLS // cells, cells), axis=1)
-    return (1 - 2 * bits.astype("float32")), cells
+    # a sketch folded to fewer cells still bounds the difference from below
+    signs = 1 - 2 * np.bitwise_xor.reduce(np.unpackbits(bits, axis=1).reshape(len(bits), CELLS // cells, cells), axis=1).astype("float32")
+    two = side.any()
+    left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if two else (np.arange(len(n)), np.arange(len(n)))
+    found = []
+    for start in range(0, len(left), 512):
+        x = left[start : start + 512]
+        differ = (cells - signs[x] @ signs[right].T) / 2
+        may = _may_link(n[x][:, None], n[right][None, :], differ) & (comp[x][:, None] != comp[right][None, :])
+        if nearest and len(right) > nearest:
+            differ = np.where(may, differ, np.inf)
+            at = np.argpartition(differ, nearest - 1, axis=1)[:, :nearest]
+            i, j = np.repeat(np.arange(len(x)), nearest), at.ravel()
+            good = may[i, j]
+            i, j = i[good], j[good]
+        else:
+            i, j = np.nonzero(may)
+        found.append((x[i], right[j]))
+    return tuple(np.concatenate(c) for c in zip(*found))
 
 
 def _propose(nearest: int | None):
-    """Of one list part, the pairs across components that may link: each set's nearest few, or all."""
+    """Of many list parts, the pairs across components that may link: each set's nearest few, or all."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        # equal lists from different buckets bring the same rows again
-        rows = rows.drop_duplicates(["node", "side"]).sort_values(["side", "node"], ignore_index=True)
-        if rows["component"].nunique() < 2:
-            return pd.DataFrame({"a": np.zeros(0, "int64"), "b": np.zeros(0, "int64")})
-        n, node, comp, side = (rows[c].to_numpy() for c in ("n", "node", "component", "side"))
-        signs, cells = _folded(rows["sketch"], n)
-        two = (side == 1).any()
-        left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if two else (np.arange(len(n)), np.arange(len(n)))
-        found = []
-        for start in range(0, len(left), 512):
-            x = left[start : start + 512]
-            differ = (cells - signs[x] @ signs[right].T) / 2
-            total = n[x][:, None] + n[right][None, :]
-            may = (9 * differ <= total) & (5 * np.minimum(n[x][:, None], n[right][None, :]) >= 4 * np.maximum(n[x][:, None], n[right][None, :])) & (comp[x][:, None] != comp[right][None, :])
-            if not two:
-                may &= x[:, None] != right[None, :]
-            if nearest and len(right) > nearest:
-                differ = np.where(may, differ, np.inf)
-                at = np.argpartition(differ, nearest - 1, axis=1)[:, :nearest]
-                rows_at, cols = np.repeat(np.arange(len(x)), nearest), at.ravel()
-                good = may[rows_at, cols]
-                found.append((node[x[rows_at[good]]], node[right[cols[good]]]))
-            else:
-                i, j = np.nonzero(may)
-                found.append((node[x[i]], node[right[j]]))
-        a, b = (np.concatenate(c) for c in zip(*found))
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+        rows = rows.sort_values(["list", "part", "side", "node"], ignore_index=True)
+        name, part, n, node, comp, side = (rows[c].to_numpy() for c in ("list", "part", "n", "node", "component", "side"))
+        bits = np.frombuffer(b"".join(rows["sketch"]), "uint8").reshape(len(rows), -1)
+        cuts = np.flatnonzero(np.r_[True, (name[1:] != name[:-1]) | (part[1:] != part[:-1]), True])
+        sizes, first = np.diff(cuts), cuts[:-1]
+        x = first[sizes == 2]  # most lists hold two sets: all of these at once
+        y = x + 1
+        differ = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype="int64")
+        good = _may_link(n[x], n[y], differ) & (comp[x] != comp[y])
+        found = [(x[good], y[good])]
+        for a, size in zip(first[sizes > 2], sizes[sizes > 2]):
+            own = slice(a, a + size)
+            if comp[own].min() != comp[own].max():
+                i, j = _of_list(n[own], comp[own], side[own], bits[own], nearest)
+                found.append((i + a, j + a))
+        x, y = (node[np.concatenate(c)] for c in zip(*found))
+        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}).drop_duplicates()
 
     return run
 
@@ -302,13 +313,18 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     members = lists.select("list", "part", F.explode("left").alias("one"), F.lit(0).alias("side")).unionByName(
         lists.filter(F.size("right") > 0).select("list", "part", F.explode("right").alias("one"), F.lit(1).alias("side"))
     )
-    members = members.join(classes.select("one", "node", "n", "sketch"), "one").drop("one")
+    members = written(members.join(classes.select("one", "node", "n"), "one").select("list", "part", "side", "node", "n"))
+    sketches = classes.select("node", "sketch")
     tried = links = None
     for nearest in (NEAREST, NEAREST, None):
         now = members.withColumn("component", F.col("node"))
         if links is not None:
             now = members.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        pairs = now.groupBy("list", "part").applyInPandas(_propose(nearest), "a long, b long").filter("a < b").distinct()
+            open_lists = now.groupBy("list", "part").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
+            now = written(now.join(open_lists.select("list", "part"), ["list", "part"], "left_semi"))
+        chunks = max(16, now.count() // CHUNK)
+        dealt = now.join(sketches, "node").withColumn("chunk", F.pmod(F.xxhash64("list", "part"), F.lit(chunks)))
+        pairs = dealt.groupBy("chunk").applyInPandas(_propose(nearest), "a long, b long").filter("a < b").distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs)
@@ -331,7 +347,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each component: the row with the smallest id (of repeated rows, one); null ids stay."""
-    found = jaccard_components(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_semi")
-    return kept.select(*docs.columns)
+    """One document of each component: the row with the smallest id (of rows with that id, one); null ids stay."""
+    found = written(jaccard_components(docs).filter("doc_id IS NULL OR doc_id = component_id").groupBy("doc_id").count())
+    kept = docs.join(found.select("doc_id"), "doc_id", "left_semi").unionByName(docs.filter("doc_id IS NULL"))
+    repeated = found.filter("doc_id IS NOT NULL AND count > 1").select("doc_id")
+    if repeated.isEmpty():
+        return kept.select(*docs.columns)
+    # only ids that do repeat are grouped
+    again = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(again).select(*docs.columns)
