@@ -15,10 +15,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangeloom.functions.stats import bucket, equi_depth
+from rangeloom.functions.stats import bucket, equi_depth, linear_maps
 from rangeloom.operators.execute import partials
 from rangeloom.plans.model import QueryError, RangeQuery
-from rangeloom.plans.skeleton import CONDITIONAL, CostModel, Skeleton, correlations, initial_skeleton, optimise
+from rangeloom.plans.skeleton import CONDITIONAL, CostModel, Skeleton, correlations, initial_skeleton, most_filtered, optimise
 from rangeloom.plans.tree import Node, TreeOptions, build_tree, region_column
 
 
@@ -109,8 +109,6 @@ def choose_skeleton(df: DataFrame, columns: Sequence[str], queries: Sequence[Ran
     sample = df.sample(options.sample, seed=5) if rows > 200_000 else df
     found = correlations(sample, columns, exact=False)
     # maps prune rows, so their residuals must hold for every row: refit the chosen ones on all of them
-    from rangeloom.functions.stats import linear_maps
-
     close = [p for p, m in found.maps.items() if m.width <= options.map_width]
     found = replace(found, maps={(m.x, m.y): m for m in linear_maps(df, close)} if rows > 200_000 else found.maps)
     parts = options.parts
@@ -131,7 +129,7 @@ def build_layout(df: DataFrame, columns: Sequence[str], queries: Sequence[RangeQ
     skeleton = choose_skeleton(df, columns, queries, tree.box, tree.rows, options)
     placed = assign_cells(df.withColumn("_row_id", F.monotonically_increasing_id()), tree, skeleton)
     # a range shuffle splits large regions over tasks and keeps each region's cells in order
-    placed.repartitionByRange("region_id", "cell_id").sortWithinPartitions("region_id", "cell_id").write.mode("overwrite").partitionBy("region_id").parquet(f"{path}/main")
+    placed.repartitionByRange("region_id", "cell_id").sortWithinPartitions("region_id", "cell_id", most_filtered(columns, queries)).write.mode("overwrite").partitionBy("region_id").parquet(f"{path}/main")
     spark = df.sparkSession
     cell_table(spark.read.parquet(f"{path}/main"), columns).coalesce(1).write.mode("overwrite").parquet(f"{path}/cells")
     meta = json.dumps({"columns": columns, "tree": tree.to_dict(), "skeleton": skeleton.to_dict(), "rows": tree.rows})

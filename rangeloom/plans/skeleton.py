@@ -90,6 +90,16 @@ def initial_skeleton(columns: Sequence[str], found: Correlations, parts: int = 4
     return out
 
 
+def plain_skeleton(columns: Sequence[str], parts: int = 2) -> Skeleton:
+    """Every dimension with buckets of its own: a start for ``optimise`` that knows nothing of correlations."""
+    return Skeleton({c: Strategy(parts=parts) for c in columns})
+
+
+def most_filtered(columns: Sequence[str], queries: Sequence[RangeQuery]) -> str:
+    """The column that most queries constrain: rows within a cell are sorted by it. The first one in doubt."""
+    return max(columns, key=lambda c: (sum(c in q.where.ranges for q in queries), -list(columns).index(c)))
+
+
 @dataclass(frozen=True)
 class CostModel:
     """Time of a query over a grid: a cost for each run of cells read, and one for each row and active dimension."""

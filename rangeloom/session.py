@@ -15,7 +15,10 @@ from rangeloom.plans.rewrite import answer, scan_metrics
 from rangeloom.sources.lookups import LookupRegistry, default_registry
 from rangeloom.sources.shared import fresh_path
 from rangeloom.sources.sinks import as_text
-from rangeloom.sources.tables import load_numeric, synthetic_housing, synthetic_trips
+from rangeloom.sources.tables import load_numeric, synthetic_forest, synthetic_housing, synthetic_trips
+
+
+SYNTHETIC = {"housing": synthetic_housing, "trips": synthetic_trips, "forest": synthetic_forest}
 
 
 class Session:
@@ -91,11 +94,10 @@ def main(args: Sequence[str] | None = None) -> None:
     parser.add_argument("file", nargs="?")
     parser.add_argument("-w", "--workload")
     parser.add_argument("-n", "--max-rows", type=int, default=200_000)
-    parser.add_argument("--dataset", choices=("housing", "trips"), default="housing")
+    parser.add_argument("--dataset", choices=tuple(SYNTHETIC), default="housing")
     given = parser.parse_args(args)
     spark = SparkSession.builder.appName("rangeloom").getOrCreate()
-    made = {"housing": synthetic_housing, "trips": synthetic_trips}[given.dataset]
-    session = Session(load_numeric(spark, given.file, given.max_rows) if given.file else made(spark, given.max_rows))
+    session = Session(load_numeric(spark, given.file, given.max_rows) if given.file else SYNTHETIC[given.dataset](spark, given.max_rows))
     text: str | None = command(session, f"workload {given.workload}")[1] if given.workload else HELP
     while text is not None:
         print(text)

@@ -170,3 +170,22 @@ def synthetic_trips(spark: SparkSession, rows: int = 200_000, seed: int = 7) ->
         "duration_min": _clip(3.5 * F.col("trip_distance") + normal(9, 3.0), 1.0, 120.0),
         "total_amount": _clip(F.col("fare_amount") + F.col("tip_amount") + 0.3 + 0.7 * F.rand(seed + 10), 2.5, 200.0),
     })
+
+
+def synthetic_forest(spark: SparkSession, rows: int = 200_000, seed: int = 11) -> DataFrame:
+    """Forest plots: slope and distances vary with elevation; the ranges of each column are fixed values."""
+    df = spark.range(rows).select(_clip(2959 + 280 * F.randn(seed), 1863.0, 3858.0).alias("Elevation"), (360 * F.rand(seed + 1)).alias("Aspect"))
+    high = (F.col("Elevation") - 1863) / 1995
+    df = df.withColumn("Slope", _clip(8 + 12 * high + 6 * F.randn(seed + 2), 0.0, 66.0))
+    df = df.withColumns({
+        "Horiz_Dist_Hydrology": _clip(-180 * F.log(1 - F.rand(seed + 3)) * (0.5 + high), 0.0, 1397.0),
+        "Horiz_Dist_Roadways": _clip(-2300 * F.log(1 - F.rand(seed + 4)) * (0.3 + high), 0.0, 7117.0),
+        "Horiz_Dist_Fire_Points": _clip(-1900 * F.log(1 - F.rand(seed + 5)), 0.0, 7173.0),
+    })
+    light = F.cos(F.radians(F.col("Aspect") - 120)) * F.sin(F.radians("Slope"))
+    return df.withColumns({
+        "Vert_Dist_Hydrology": _clip(0.2 * F.col("Horiz_Dist_Hydrology") + 35 * F.randn(seed + 6), -173.0, 601.0),
+        "Hillshade_9am": _clip(212 + 90 * light + 5 * F.randn(seed + 7), 0.0, 254.0),
+        "Hillshade_Noon": _clip(224 - 60 * F.sin(F.radians("Slope")) + 5 * F.randn(seed + 8), 0.0, 254.0),
+        "Hillshade_3pm": _clip(142 - 110 * light + 5 * F.randn(seed + 9), 0.0, 254.0),
+    })

@@ -41,3 +41,13 @@ def test_batch_and_sinks(session, spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "r"), header=True).count() == 6
     assert batch.query_log(spark, queries, session.table.columns).count() == 24
     assert sinks.formatted(None) == "NULL" and sinks.formatted(12345) == "12,345"
+
+
+def test_benchmark(spark, tmp_path):
+    from rangeloom import benchmark
+
+    lines = ["SELECT COUNT(*) FROM data WHERE zone = 'Lowland' AND Slope < 10", "SELECT AVG(Slope) FROM data WHERE Elevation >= 3200"]
+    (tmp_path / "w.txt").write_text("\n".join(lines))
+    text = benchmark.main(["-w", str(tmp_path / "w.txt"), "--group-a", str(tmp_path / "w.txt"), "-n", "2000", "--dataset", "forest", "--reps", "1", "--csv-out", str(tmp_path / "out")], spark)
+    assert "zorder" in text and "Lowland" in text
+    assert spark.read.csv(str(tmp_path / "out"), header=True).filter("match = 'true'").count() == 6
