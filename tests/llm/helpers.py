@@ -1,5 +1,7 @@
 import numpy as np
 
+#: Words of letters only, so that every operator sees different words.
+LETTERS = str.maketrans("0123456789", "aeioubdgkm")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -9,7 +11,7 @@ def docs(spark, rows, schema="doc_id long, text string"):
 
 def words(seed, n, vocabulary=400):
     r = np.random.default_rng(seed)
-    return [f"w{k}" for k in r.integers(0, vocabulary, n)]
+    return [f"w{k}".translate(LETTERS) for k in r.integers(0, vocabulary, n)]
 
 
 def groups(links, ids):
