@@ -87,7 +87,7 @@ def range_many_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("count_all", F.round("sum_l_quantity", 2).alias("sum_q"), F.col("min_l_extendedprice").alias("min_p"), F.col("max_l_extendedprice").alias("max_p"), "n_matched")
 
 
-@registered("SELECT 0.0 AS sum_l_quantity, 0 AS n_matched")
+@registered("SELECT CAST(0 AS DOUBLE) AS sum_l_quantity, CAST(0 AS BIGINT) AS n_matched")
 def range_empty_as_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = lineitem(spark, sf_dir)
     return execute.compat_zero(execute.aggregate(df, read_query(df, "SELECT SUM(l_quantity) FROM data WHERE l_quantity <= 0")))
