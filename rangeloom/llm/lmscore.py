@@ -52,7 +52,8 @@ def neighbours(ids: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
 def fit(docs: DataFrame, marks: DataFrame, path: str | None = None) -> tuple[Model, Model]:
     """Target and background models of documents (doc_id, text); marks (doc_id, target): target where not 0."""
     marked = marks.filter("doc_id IS NOT NULL AND target IS NOT NULL").groupBy("doc_id").agg(F.max("target").alias("target"))
-    rows = docs.select("doc_id", "text").join(marked, "doc_id", "left").select("text", (F.coalesce("target", F.lit(0)) != 0).alias("target"))
+    # marks grow with the corpus: never broadcast, so that the plan is the same at every size
+    rows = docs.select("doc_id", "text").join(marked.hint("merge"), "doc_id", "left").select("text", (F.coalesce("target", F.lit(0)) != 0).alias("target"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
