@@ -74,12 +74,14 @@ class Layout:
     skeleton: Skeleton
     rows: int
 
-    @property
+    @cached_property
     def main(self) -> DataFrame:
+        """The clustered rows. A layout's files do not change, so they are listed once."""
         return self.spark.read.parquet(f"{self.path}/main")
 
-    @property
+    @cached_property
     def cells(self) -> DataFrame:
+        """The zone map and pre-aggregates."""
         return self.spark.read.parquet(f"{self.path}/cells")
 
     @cached_property

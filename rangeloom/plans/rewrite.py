@@ -107,9 +107,8 @@ def _from_zone_map(layout: Layout, where: Selection, columns: list[str]) -> list
     sure = zone_map[whole]
     out = []
     if len(sure):
-        values = [int(sure["n"].sum())] + [float(getattr(sure[f"{f}_{c}"], f)()) for c in columns for f in ("sum", "min", "max")]
-        names = ["n bigint", *[f"{f}_{c} double" for c in columns for f in ("sum", "min", "max")]]
-        out.append(layout.spark.createDataFrame([tuple(values)], ", ".join(names)))
+        sums = [F.lit(float(getattr(sure[f"{f}_{c}"], f)())).alias(f"{f}_{c}") for c in columns for f in ("sum", "min", "max")]
+        out.append(layout.spark.range(1, numPartitions=1).select(F.lit(int(sure["n"].sum())).cast("long").alias("n"), *sums))
     if len(edge) or not out:
         key = F.col("region_id").cast("long") * (1 << 20) + F.col("cell_id")
         codes = (edge["region_id"].astype("int64") * (1 << 20) + edge["cell_id"]).tolist()
