@@ -2,9 +2,11 @@
 
 A lexical transducer (a trie of word beginnings and whole words) turns words into symbols: insult, threat, target,
 negation, reported speech, clause end. Three small transducers follow, each composed with the one before: negation and
-reported speech mark the insults and threats in their scope, and the target transducer marks those aimed at someone.
-What leaves the grammar are matched clauses with their marks; a document's score is a logistic function of the weights
-gathered by each kind of match, so a negated or reported insult can count for less than an aimed one.
+reported speech mark the insults and threats of their clause, and the target transducer marks those aimed at someone.
+They run over the symbols from the left and then from the right, so that what stands behind an insult or threat marks it
+as well as what stands before. What leaves the grammar are matched clauses with their marks, each with the weight of all
+its insults or threats; a document's score is a logistic function of the weights gathered by each kind of match, so a
+negated or reported insult can count for less than an aimed one.
 
 Insult entries and all weights are learned from labelled rows outside the held-out fold, at most ``bound`` of them.
 Documents that share their smallest shingle hash and label count once there, so that copies cannot make their words look
@@ -37,9 +39,24 @@ ENDS = frozenset(".!?;:\n")
 PREFIXES, LEAST_RATIO, LEXICON = range(4, 9), 25.0, 4000
 #: Words kept in a worker's table of looked-up words before it is emptied.
 KEPT = 300_000
+#: Stems of threatening verbs and the endings that make their forms (- is none).
+THREATS = {
+    "kill destroy": "- s ing ed",
+    "punish": "- es ing ed",
+    "hurt": "- s ing",
+    "beat": "- s ing en",
+    "töt getöt zerstör": "en e est st et t ete eten te ten",
+    "schlag geschlag": "en e t",
+    "schläg": "st t",
+    "schlug": "- st en",
+    "tu frapp": "er e es ent ez ons é és ée ées ant erai eras era erons erez eront",
+    "détrui": "re s t sent sez sons sant te ts tes rai ras ra rons rez ront",
+    "mat golpe": "ar o as a amos an é ó aron aré arás ará aremos arán ando ado ados ada adas",
+    "destru": "ir yo yes ye imos yen í yó yeron iré irás irá iremos irán yendo ido idos ida idas",
+}
 #: Fixed seed words of the grammar; insults are learned.
 SEEDS = {
-    "threat": "kill hurt destroy punish beat töten schlagen zerstören tuer frapper détruire matar golpear destruir".split(),
+    "threat": [stem + end.replace("-", "") for stems, ends in THREATS.items() for stem in stems.split() for end in ends.split()],
     "target": "you your he she they him her them du dich ihr euch er sie tu toi vous il elle ils tú usted él ella ellos".split(),
     "negation": "not no never nobody without nicht kein keine nie ohne pas jamais aucun sans nunca ninguno sin".split(),
     "reported": "said says say wrote quoted claimed called sagte schrieb behauptete disait écrivait affirmait dijo escribió afirmó".split(),
@@ -72,23 +89,40 @@ def compose(first: Fst, second: Fst, symbols: list[str]) -> Fst:
     return Fst(f"{first.start}/{second.start}", arcs, frozenset(f"{a}/{b}" for a in first.states for b in second.states))
 
 
-def scope(opener: str, mark: str, marked: list[str]) -> Fst:
-    """From an opening symbol to the clause's end, the marked symbols (whatever marks they have) get one more mark."""
+MARKS = "-~+"
+
+
+def marked(symbol: str, mark: str) -> str:
+    """The symbol with one more mark; marks stand in one order, and none twice."""
+    return symbol.rstrip(MARKS) + "".join(m for m in MARKS if m in symbol or m == mark)
+
+
+def scope(opener: str, mark: str, events: list[str]) -> Fst:
+    """From an opening symbol to the clause's end, the events (whatever marks they have) get one more mark."""
     arcs: Arcs = {("out", opener): ("in", opener), ("in", "end"): ("out", "end")}
-    arcs |= {("in", s): ("in", s + mark) for s in marked}
+    arcs |= {("in", s): ("in", marked(s, mark)) for s in events}
     return Fst("out", arcs, frozenset(("out", "in")))
 
 
 def grammar() -> Fst:
-    """Negation, then reported speech, then target, composed."""
-    symbols = ["insult", "threat", "target", "negation", "reported", "end"]
-    events = ["insult", "threat"]
-    negated = events + [e + "-" for e in events]
-    reported = negated + [e + "~" for e in negated]
-    steps = [scope("negation", "-", events), scope("reported", "~", negated), scope("target", "+", reported)]
+    """Negation, then reported speech, then target, composed; it takes in what it gives out, so that it can run both ways."""
+    events = [e + n + r + t for e in ("insult", "threat") for n in ("", "-") for r in ("", "~") for t in ("", "+")]
+    symbols = [*events, "target", "negation", "reported", "end"]
+    steps = [scope("negation", "-", events), scope("reported", "~", events), scope("target", "+", events)]
     return reduce(lambda a, b: compose(a, b, symbols), steps)
 
 
+def both_ways(symbols: list[str], fst: Fst) -> list[str]:
+    """The symbols after a run from the left and one from the right over what that gave."""
+    for way in (1, -1):
+        state, out = fst.start, []
+        for symbol in symbols[::way]:
+            state, found = fst.step(state, symbol)
+            out.append(found)
+        symbols = out[::way]
+    return symbols
+
+
 #: Kinds of match that leave the grammar: an insult with any marks, and a threat only when aimed.
 KINDS = [f"insult{n}{r}{t}" for n in ("", "-") for r in ("", "~") for t in ("", "+")] + [f"threat{n}{r}+" for n in ("", "-") for r in ("", "~")]
 
@@ -119,15 +153,17 @@ class Lexicon:
 
 
 def matches(text: str | None, lexicon: Lexicon, fst: Fst) -> np.ndarray:
-    """For each kind the gathered weight; then the strongest match, the number of matches, and their weight a clause and a word."""
-    out, strongest, n, clauses, state = dict.fromkeys(KINDS, 0.0), 0.0, 0, 1, fst.start
+    """For each kind the gathered weight; then the strongest word, the number of matched clauses, and the weight a clause and a word."""
+    out, strongest, n, clauses = dict.fromkeys(KINDS, 0.0), 0.0, 0, 1
     symbols, words = lexicon.symbols(text or "")
-    for symbol, weight in symbols:
-        state, found = fst.step(state, symbol)
-        clauses += symbol == "end"
-        if found in out:
+    clause: set[str] = set()
+    for found, (_, weight) in zip(both_ways([s for s, _ in symbols], fst), symbols):
+        if found == "end":
+            clauses, clause = clauses + 1, set()
+        elif found in out:
             out[found] += weight
-            strongest, n = max(strongest, weight), n + 1
+            strongest, n = max(strongest, weight), n + (found not in clause)
+            clause.add(found)
     total = sum(out.values())
     return np.array([*np.log1p(list(out.values())), strongest, np.log1p(n), np.log1p(total / clauses), np.log1p(100 * total / max(words, 1))])
 

@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from rangeloom.llm import lmscore
+from rangeloom.llm import lmscore, toxicity
 from rangeloom.llm.bpe import load
 
 from helpers import docs, words
@@ -39,3 +39,24 @@ def test_bigrams_are_counted_exactly(spark, monkeypatch):
             assert (out[i]["target_loss"], out[i]["background_loss"]) == pytest.approx((loss(0, a), loss(1, a)), abs=1e-9)
             assert out[i]["target_loss"] > 0 and out[i]["background_loss"] > 0
     assert lmscore.cross_entropy_difference(docs(spark, []), marks).count() == 0
+
+
+def test_clauses_are_marked_from_both_sides(spark):
+    fst, lexicon = toxicity.grammar(), toxicity.Lexicon({"fool$": 2.0, "clod": 1.0})
+    at = lambda text: {k: v for k, v in zip(toxicity.KINDS, toxicity.matches(text, lexicon, fst)) if v}
+    assert set(at("I will kill you")) == {"threat+"} and set(at("Killing you. He kills")) == {"threat+"}
+    assert set(at("ich töte dich nicht")) == {"threat-+"} and set(at("te matarán a ellos")) == {"threat+"}
+    assert set(at("a fool you are")) == {"insult+"} and set(at("fool, she said")) == {"insult~+"} and set(at("you. fool. you")) == {"insult"}
+    assert at("I will kill") == {} and at("I will kill. you") == {}
+    # two insults in a clause are one matched clause with the weight of both
+    one, two = (toxicity.matches(t, lexicon, fst) for t in ("fool clod", "fool. clod"))
+    assert one[0] == two[0] == pytest.approx(np.log1p(3)) and one[-3] == np.log1p(1) and two[-3] == np.log1p(2)
+
+    rows, labels = [], []
+    for k in range(300):
+        bad = k % 3 == 0
+        own = words(k, 40, 4000)
+        rows.append((k, " ".join(own[:20]) + (". I will kill you. " if bad else ". I will kill. You will see. ") + " ".join(own[20:])))
+        labels.append((k, int(bad)))
+    out = {r["doc_id"]: r["predicted"] for r in toxicity.classify(docs(spark, rows), docs(spark, labels, "doc_id long, toxic int")).collect()}
+    assert all(out[k] == int(k % 3 == 0) for k in range(300))
