@@ -434,4 +434,4 @@ def delta_compact_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered()
 def batch_latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = dims(spark, sf_dir)
-    return batch.latency_percentiles(batch.run_group(layout_of(spark, sf_dir), df, _workload(df)[::9], reps=1))
+    return batch.latency_percentiles(batch.run_group(layout_of(spark, sf_dir), df, _workload(df)))
