@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 from rangeloom.operators import batch
 from rangeloom.operators.zorder import ZOrderTable
-from rangeloom.session import SYNTHETIC, Session
+from rangeloom.session import SYNTHETIC, SYNTHETIC_ROWS, Session
 from rangeloom.sources.shared import fresh_path
 from rangeloom.sources.sinks import as_text, write_results
 from rangeloom.sources.tables import load_numeric
@@ -21,13 +21,13 @@ def main(args: Sequence[str] | None = None, spark: SparkSession | None = None) -
     parser.add_argument("-w", "--workload", required=True)
     parser.add_argument("--group-a", required=True, help="queries like the workload")
     parser.add_argument("--group-b", help="queries unlike it")
-    parser.add_argument("-n", "--max-rows", type=int, default=200_000)
+    parser.add_argument("-n", "--max-rows", type=int, help=f"rows read of a file (default: all), rows of a synthetic table (default: {SYNTHETIC_ROWS:,})")
     parser.add_argument("--dataset", choices=tuple(SYNTHETIC), default="housing")
     parser.add_argument("--csv-out")
     parser.add_argument("--reps", type=int, default=3)
     given = parser.parse_args(args)
     spark = spark or SparkSession.builder.appName("rangeloom").getOrCreate()
-    session = Session(load_numeric(spark, given.file, given.max_rows) if given.file else SYNTHETIC[given.dataset](spark, given.max_rows).persist())
+    session = Session(load_numeric(spark, given.file, given.max_rows) if given.file else SYNTHETIC[given.dataset](spark, SYNTHETIC_ROWS if given.max_rows is None else given.max_rows).persist())
 
     def read(path: str):
         with open(path, encoding="utf-8") as f:

@@ -19,6 +19,7 @@ from rangeloom.sources.tables import load_numeric, synthetic_forest, synthetic_h
 
 
 SYNTHETIC = {"housing": synthetic_housing, "trips": synthetic_trips, "forest": synthetic_forest}
+SYNTHETIC_ROWS = 200_000
 
 
 class Session:
@@ -93,11 +94,11 @@ def main(args: Sequence[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description=__doc__)
     parser.add_argument("file", nargs="?")
     parser.add_argument("-w", "--workload")
-    parser.add_argument("-n", "--max-rows", type=int, default=200_000)
+    parser.add_argument("-n", "--max-rows", type=int, help=f"rows read of a file (default: all), rows of a synthetic table (default: {SYNTHETIC_ROWS:,})")
     parser.add_argument("--dataset", choices=tuple(SYNTHETIC), default="housing")
     given = parser.parse_args(args)
     spark = SparkSession.builder.appName("rangeloom").getOrCreate()
-    session = Session(load_numeric(spark, given.file, given.max_rows) if given.file else SYNTHETIC[given.dataset](spark, given.max_rows))
+    session = Session(load_numeric(spark, given.file, given.max_rows) if given.file else SYNTHETIC[given.dataset](spark, SYNTHETIC_ROWS if given.max_rows is None else given.max_rows))
     text: str | None = command(session, f"workload {given.workload}")[1] if given.workload else HELP
     while text is not None:
         print(text)

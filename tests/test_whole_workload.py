@@ -4,7 +4,7 @@ from pathlib import Path
 
 import pytest
 
-from rangeloom import queries
+from rangeloom import benchmark, queries, session
 from rangeloom.operators import batch
 
 SF = "/root/testdata/sf0.001"
@@ -22,3 +22,19 @@ def test_latencies_cover_the_workload(spark, monkeypatch):
     rows = queries.batch_latency_percentiles(spark, SF).collect()
     assert {r["path"]: r["queries"] for r in rows} == {"scan": len(queries.WORKLOAD), "layout": len(queries.WORKLOAD)}
     assert set(runs) == {3} and len(runs) == 2 * len(queries.WORKLOAD)
+
+
+def test_files_are_read_whole(spark, tmp_path, monkeypatch, capsys):
+    n = 200_001
+    path = str(tmp_path / "t.parquet")
+    spark.range(n).selectExpr("CAST(id AS DOUBLE) AS a", "CAST(id % 1000 AS DOUBLE) AS b").write.parquet(path)
+    lines = iter(["SELECT COUNT(*), MAX(a) FROM data", "quit"])
+    monkeypatch.setattr("builtins.input", lambda prompt: next(lines))
+    session.main([path])
+    said = capsys.readouterr().out.replace(",", "")
+    assert str(n) in said and str(n - 1) in said
+
+    (tmp_path / "w.txt").write_text("SELECT COUNT(*) FROM data WHERE b < 2000")
+    text = str(tmp_path / "w.txt")
+    benchmark.main([path, "-w", text, "--group-a", text, "--reps", "1", "--csv-out", str(tmp_path / "out")], spark)
+    assert {float(r["answer"]) for r in spark.read.csv(str(tmp_path / "out"), header=True).collect()} == {float(n)}
