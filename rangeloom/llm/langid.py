@@ -105,7 +105,10 @@ def decode(margins: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
 
 
 def predict(docs: DataFrame, model: Model, ambiguous_below: float = 0.6, names: tuple[str, str, str] = ("lang_pred", "score", "ambiguous")) -> DataFrame:
-    """docs (text and further columns, all kept) with the language, its share of the evidence, and ambiguity, by these names."""
+    """docs (text and further columns, all kept) with the language, its share of the evidence, and ambiguity, by these names.
+
+    Where no language was learned, texts with a letter are 'und' and ambiguous; those without one are 'und' only.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,8 +116,10 @@ def predict(docs: DataFrame, model: Model, ambiguous_below: float = 0.6, names:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             lang, score = ["und"] * len(texts), np.zeros(len(texts))
-            at = [k for k, t in enumerate(texts) if t and m.languages and LETTER.search(t)]
-            if at:
+            at = [k for k, t in enumerate(texts) if t and LETTER.search(t)]
+            unlearned = np.zeros(len(texts), bool)
+            unlearned[at] = not m.languages
+            if at and m.languages:
                 margins = []
                 for k in at:
                     cells = gram_counts(texts[k], ORDERS, BITS, True).astype("float32")
@@ -122,7 +127,7 @@ def predict(docs: DataFrame, model: Model, ambiguous_below: float = 0.6, names:
                 best, evidence = decode(np.array(margins, "float64"), m)
                 for k, b, e in zip(at, best, evidence):
                     lang[k], score[k] = m.languages[b], e[b]
-            unsure = (score > 0) & (score < ambiguous_below)
+            unsure = (score > 0) & (score < ambiguous_below) | unlearned
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(unsure)], [*batch.schema.names, *names])
 
     types = (T.StringType(), T.DoubleType(), T.BooleanType())
@@ -136,6 +141,6 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents that have a language; those without a letter are rejected."""
+    """The documents with a letter, whether or not a language could be learned; those without one are rejected."""
     names = tuple(free_names(docs.columns, "lang_pred", "score", "ambiguous"))
-    return predict(docs, fit(docs), names=names).filter(F.col(names[0]) != "und").select(*docs.columns)
+    return predict(docs, fit(docs), names=names).filter((F.col(names[0]) != "und") | F.col(names[2])).select(*docs.columns)

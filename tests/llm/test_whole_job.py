@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from rangeloom.llm import lmscore, toxicity
+from rangeloom.llm import langid, lmscore, toxicity
 from rangeloom.llm.bpe import load
 
 from helpers import docs, words
@@ -60,3 +60,11 @@ def test_clauses_are_marked_from_both_sides(spark):
         labels.append((k, int(bad)))
     out = {r["doc_id"]: r["predicted"] for r in toxicity.classify(docs(spark, rows), docs(spark, labels, "doc_id long, toxic int")).collect()}
     assert all(out[k] == int(k % 3 == 0) for k in range(300))
+
+
+def test_nothing_learned_rejects_no_text(spark):
+    rows = [(1, "some words here", None), (2, "andere Worte", None), (3, "12 34 !!", None), (4, "", None), (5, None, None)]
+    df = docs(spark, rows, "doc_id long, text string, lang string")
+    kept = langid.keep_identified(df)
+    assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {1, 2}
+    assert {r["doc_id"]: (r["lang_pred"], r["ambiguous"]) for r in langid.identify(df).collect()} == {k: ("und", k < 3) for k in range(1, 6)}
