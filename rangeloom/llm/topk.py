@@ -87,7 +87,7 @@ class Best:
         for mine, theirs in zip(self.queries.features, candidates.features):
             bound = mine[at] @ theirs[keep].T
             # rounding may take a little off a bound
-            keep = keep[(bound * (1 + 1e-9) + 1e-3 >= floor[:, None]).any(0)]
+            keep = keep[(bound + 1e-9 * np.abs(bound) + 1e-3 >= floor[:, None]).any(0)]
             if not len(keep):
                 return
         score = products(self.queries.vectors[at], candidates.vectors[keep])

@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from rangeloom.llm import langid, lmscore, toxicity
+from rangeloom.llm import langid, lmscore, topk, toxicity
 from rangeloom.llm.bpe import load
 
 from helpers import docs, words
@@ -68,3 +68,12 @@ def test_nothing_learned_rejects_no_text(spark):
     kept = langid.keep_identified(df)
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {1, 2}
     assert {r["doc_id"]: (r["lang_pred"], r["ambiguous"]) for r in langid.identify(df).collect()} == {k: ("und", k < 3) for k in range(1, 6)}
+
+
+def test_top_k_of_strongly_negative_scores(spark):
+    # all bounds are tight and all scores equal; the smallest ids come last, in a second tile
+    n = topk.CANDIDATE_TILE + 1000
+    candidates = spark.createDataFrame([(k, [-1024] * 16) for k in range(n, 0, -1)], "vec_id long, v array<long>").coalesce(1)
+    queries = spark.createDataFrame([(0, [256] * 16)], "vec_id long, v array<long>")
+    out = topk.top_k(queries, candidates).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in out] == [(k, -4194304) for k in range(1, 6)]
