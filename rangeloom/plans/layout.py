@@ -8,14 +8,14 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangeloom.functions.stats import bucket, equi_depth, linear_maps
+from rangeloom.functions.stats import bucket, equi_depth
 from rangeloom.operators.execute import partials
 from rangeloom.plans.model import QueryError, RangeQuery
 from rangeloom.plans.skeleton import CONDITIONAL, CostModel, Skeleton, correlations, initial_skeleton, most_filtered, optimise
@@ -36,7 +36,6 @@ class LayoutOptions:
     empty_share: float = 0.25
     iterations: int = 20
     max_cells: int = 1024
-    sample: float = 0.30
 
 
 def assign_cells(df: DataFrame, tree: Node, skeleton: Skeleton) -> DataFrame:
@@ -108,11 +107,8 @@ class Layout:
 
 
 def choose_skeleton(df: DataFrame, columns: Sequence[str], queries: Sequence[RangeQuery], domains: dict[str, tuple[float, float]], rows: int, options: LayoutOptions) -> Skeleton:
-    sample = df.sample(options.sample, seed=5) if rows > 200_000 else df
-    found = correlations(sample, columns, exact=False)
-    # maps prune rows, so their residuals must hold for every row: refit the chosen ones on all of them
-    close = [p for p, m in found.maps.items() if m.width <= options.map_width]
-    found = replace(found, maps={(m.x, m.y): m for m in linear_maps(df, close)} if rows > 200_000 else found.maps)
+    # over all rows at every size: maps prune rows, so their residuals must hold for every one
+    found = correlations(df, columns, exact=False)
     parts = options.parts
     while parts > 1 and parts ** len(columns) > options.max_cells:
         parts -= 1

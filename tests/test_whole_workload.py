@@ -6,6 +6,7 @@ import pytest
 
 from rangeloom import benchmark, queries, session
 from rangeloom.operators import batch
+from rangeloom.plans import layout
 
 SF = "/root/testdata/sf0.001"
 
@@ -38,3 +39,11 @@ def test_files_are_read_whole(spark, tmp_path, monkeypatch, capsys):
     text = str(tmp_path / "w.txt")
     benchmark.main([path, "-w", text, "--group-a", text, "--reps", "1", "--csv-out", str(tmp_path / "out")], spark)
     assert {float(r["answer"]) for r in spark.read.csv(str(tmp_path / "out"), header=True).collect()} == {float(n)}
+
+
+def test_skeletons_see_every_row(spark, monkeypatch):
+    n, seen, real = 200_001, [], layout.correlations
+    df = spark.range(n).selectExpr("CAST(id AS DOUBLE) AS a", "CAST(pmod(hash(id), 1000) AS DOUBLE) AS b")
+    monkeypatch.setattr(layout, "correlations", lambda df, *args, **more: seen.append(df.count()) or real(df, *args, **more))
+    layout.choose_skeleton(df, ["a", "b"], [], {"a": (0.0, n - 1.0), "b": (0.0, 999.0)}, n, layout.LayoutOptions())
+    assert seen == [n]
