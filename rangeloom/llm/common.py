@@ -25,7 +25,18 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stage_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of written frames, once nothing that is still to be computed reads them."""
+    for df in frames:
+        path = getattr(df, "_stage_path", None)
+        if path:
+            own = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            own.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(own, True)
 
 
 def fold(doc_id: Column | str, parts: int) -> Column:
