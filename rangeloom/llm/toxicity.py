@@ -4,13 +4,17 @@ A lexical transducer (a trie of word beginnings and whole words) turns words int
 negation, reported speech, clause end. Three small transducers follow, each composed with the one before: negation and
 reported speech mark the insults and threats of their clause, and the target transducer marks those aimed at someone.
 They run over the symbols from the left and then from the right, so that what stands behind an insult or threat marks it
-as well as what stands before. What leaves the grammar are matched clauses with their marks, each with the weight of all
-its insults or threats; a document's score is a logistic function of the weights gathered by each kind of match, so a
-negated or reported insult can count for less than an aimed one.
+as well as what stands before. What leaves the grammar are matched clauses: those with an insult, and those with a threat
+that has a target, each with its marks and the weight of its insults and threats.
 
-Insult entries and all weights are learned from labelled rows outside the held-out fold, at most ``bound`` of them.
-Documents that share their smallest shingle hash and label count once there, so that copies cannot make their words look
-toxic. A beginning enters the lexicon when the likelihood ratio of its document counts is large.
+A document's score is a logistic function of what its matched clauses weigh by kind. The signs of the coefficients are
+fixed: insults, aimed insults and aimed threats cannot lower a score, negation and reported speech cannot raise it. Each
+coefficient is drawn towards a stated prior, so that a kind of clause of which the labelled rows hold no case still counts.
+
+Insult entries and their weights are learned from labelled rows outside the held-out fold, about ``bound`` of them at
+most. Documents that share their smallest shingle hash and label count once there, so that copies cannot make their words
+look toxic. A beginning enters the lexicon when the likelihood ratio of its document counts is large, a longer one only
+where it tells more than the shorter; its weight is the log ratio of its rates among the words of toxic and other rows.
 
 Defined results: a null or empty text has no match and gets the score of such documents. A null label or id is not
 learned from; of repeated labels the higher counts. With nothing learned the score is 0. Long texts are read whole. An
@@ -31,12 +35,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rangeloom.llm.common import bounded_sample, fold, free_names, written
+from rangeloom.llm.common import bounded_sample, discard, fold, free_names, written
 
 PARTS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 TOKENS = re.compile(r"[^\W\d_]+|[.!?;:\n]")
 ENDS = frozenset(".!?;:\n")
-PREFIXES, LEAST_RATIO, LEXICON = range(4, 9), 25.0, 4000
+#: Letters of a beginning; least likelihood ratio and least weight of an entry.
+PREFIXES, LEAST_RATIO, LEAST_WEIGHT = range(4, 9), 25.0, 1.5
+#: Weight of a threat of the fixed list, as of an insult that is some fifty times as frequent in toxic text.
+THREAT = 4.0
 #: Words kept in a worker's table of looked-up words before it is emptied.
 KEPT = 300_000
 #: Stems of threatening verbs and the endings that make their forms (- is none).
@@ -57,9 +64,9 @@ THREATS = {
 #: Fixed seed words of the grammar; insults are learned.
 SEEDS = {
     "threat": [stem + end.replace("-", "") for stems, ends in THREATS.items() for stem in stems.split() for end in ends.split()],
-    "target": "you your he she they him her them du dich ihr euch er sie tu toi vous il elle ils tú usted él ella ellos".split(),
-    "negation": "not no never nobody without nicht kein keine nie ohne pas jamais aucun sans nunca ninguno sin".split(),
-    "reported": "said says say wrote quoted claimed called sagte schrieb behauptete disait écrivait affirmait dijo escribió afirmó".split(),
+    "target": "you your yours yourself he him his himself she her hers herself they them their us du dich dir dein deine ihr euch euer er ihn ihm sie uns tu toi te vous votre il elle lui ils elles leur nous tú te usted ustedes él ella ellos ellas les nos".split(),
+    "negation": "not no never nobody nothing neither nor without cannot nicht kein keine keinen nie niemals niemand ohne pas jamais aucun aucune personne sans nunca jamás nadie ninguno ninguna sin".split(),
+    "reported": "said says say saying told tells tell wrote writes write quoted quotes claimed claims called calls sagte sagt sagen schrieb schreibt behauptete behauptet nannte dit disait disent écrit écrivait affirmait affirme dijo dice dicen decía escribió escribe afirmó afirma".split(),
 }
 
 Arcs = dict[tuple[str, str], tuple[str, str]]
@@ -123,7 +130,7 @@ def both_ways(symbols: list[str], fst: Fst) -> list[str]:
     return symbols
 
 
-#: Kinds of match that leave the grammar: an insult with any marks, and a threat only when aimed.
+#: Kinds of matched clause: with an insult or an aimed threat, each with the clause's marks.
 KINDS = [f"insult{n}{r}{t}" for n in ("", "-") for r in ("", "~") for t in ("", "+")] + [f"threat{n}{r}+" for n in ("", "-") for r in ("", "~")]
 
 
@@ -139,7 +146,7 @@ class Lexicon:
         weight = max((self.insults[p] for p in [word + "$", *(word[:n] for n in PREFIXES if len(word) >= n)] if p in self.insults), default=0.0)
         if weight:
             return "insult", weight
-        return (self.fixed[word], 1.0) if word in self.fixed else None
+        return (self.fixed[word], THREAT) if word in self.fixed else None
 
     def symbols(self, text: str) -> tuple[list[tuple[str, float]], int]:
         """The symbols of a text in turn (other words leave none) and its number of words and ends."""
@@ -152,20 +159,44 @@ class Lexicon:
         return [s for s in map(known.__getitem__, words) if s], len(words)
 
 
-def matches(text: str | None, lexicon: Lexicon, fst: Fst) -> np.ndarray:
-    """For each kind the gathered weight; then the strongest word, the number of matched clauses, and the weight a clause and a word."""
-    out, strongest, n, clauses = dict.fromkeys(KINDS, 0.0), 0.0, 0, 1
+def clauses(text: str | None, lexicon: Lexicon, fst: Fst) -> tuple[list[dict[str, float]], int, int]:
+    """The matched clauses, each with the weight of its events by kind; the number of all clauses, and of words."""
+    found: list[dict[str, float]] = [{}]
     symbols, words = lexicon.symbols(text or "")
-    clause: set[str] = set()
-    for found, (_, weight) in zip(both_ways([s for s, _ in symbols], fst), symbols):
-        if found == "end":
-            clauses, clause = clauses + 1, set()
-        elif found in out:
-            out[found] += weight
-            strongest, n = max(strongest, weight), n + (found not in clause)
-            clause.add(found)
-    total = sum(out.values())
-    return np.array([*np.log1p(list(out.values())), strongest, np.log1p(n), np.log1p(total / clauses), np.log1p(100 * total / max(words, 1))])
+    if not any(s in ("insult", "threat") for s, _ in symbols):
+        return [], 1 + sum(s == "end" for s, _ in symbols), words
+    for symbol, (_, weight) in zip(both_ways([s for s, _ in symbols], fst), symbols):
+        if symbol == "end":
+            found.append({})
+        elif symbol in _KNOWN:
+            found[-1][symbol] = found[-1].get(symbol, 0.0) + weight
+    return [c for c in found if c], len(found), words
+
+
+_KNOWN = frozenset(KINDS)
+#: What a document's matched clauses weigh, the sign of each coefficient, and its prior.
+FEATURES = {
+    "insults": (1, 0.5),
+    "aimed insults": (1, 0.5),
+    "aimed threats": (1, 2.5),
+    "negated": (-1, -0.5),
+    "reported": (-1, -0.5),
+    "strongest clause": (1, 0.0),
+    "matched clauses": (1, 0.0),
+    "weight a clause": (1, 0.0),
+    "weight a hundred words": (1, 0.5),
+}
+
+
+def matches(text: str | None, lexicon: Lexicon, fst: Fst) -> np.ndarray:
+    """The FEATURES of a text, on a logarithmic scale."""
+    found, n, words = clauses(text, lexicon, fst)
+    total = [sum(c.values()) for c in found]
+    part = lambda test: sum(w for c in found for kind, w in c.items() if test(kind))
+    insults, threats = part(lambda k: k[0] == "i"), part(lambda k: k[0] == "t")
+    aimed = part(lambda k: k[0] == "i" and "+" in k)
+    whole = insults + threats
+    return np.log1p([insults, aimed, threats, part(lambda k: "-" in k), part(lambda k: "~" in k), max(total, default=0.0), len(found), whole / n, 100 * whole / max(words, 1)])
 
 
 @dataclass(frozen=True)
@@ -192,47 +223,68 @@ def _labelled(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
     return found.select("text", "label").mapInArrow(mark, "text string, label int, mark long").groupBy("mark", "label").agg(F.min("text").alias("text"))
 
 
+def _ratio(bad: float, good: float, share: float) -> float:
+    """Likelihood ratio of counts against a share of bad ones."""
+    n = bad + good
+    return 2 * sum(k * np.log(k / (n * p)) for k, p in ((bad, share), (good, 1 - share)) if k)
+
+
 def learn_insults(labelled: DataFrame) -> dict[str, float]:
-    """Word beginnings and whole words (with $) whose documents are toxic far more often than others."""
+    """Word beginnings and whole words (with $) whose documents are toxic far more often than others.
+
+    The rows that meet the least ratio are as many as the sample's words at most.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total: dict[str, list[int]] = {}
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = set(TOKENS.findall(text.lower())) - ENDS
-                for term in {w + "$" for w in words} | {w[:n] for w in words for n in PREFIXES if len(w) >= n}:
-                    total.setdefault(term, [0, 0])[label > 0] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([v[1] for v in total.values()], pa.int64()), pa.array([v[0] for v in total.values()], pa.int64())], ["term", "toxic", "clean"])
-
-    n = {r["label"] > 0: r["n"] for r in labelled.groupBy((F.col("label") > 0).alias("label")).agg(F.count("*").alias("n")).collect()}
-    bad, good = n.get(True, 0), n.get(False, 0)
-    if not bad or not good:
+                words = [w for w in TOKENS.findall(text.lower()) if w not in ENDS]
+                own: dict[str, int] = {}
+                for w in words:
+                    for term in (w + "$", *(w[:n] for n in PREFIXES if len(w) >= n)):
+                        own[term] = own.get(term, 0) + 1
+                own[""] = len(words)
+                side = int(label > 0)
+                for term, n in own.items():
+                    sums = total.setdefault(term, [0, 0, 0, 0])
+                    sums[side] += 1
+                    sums[2 + side] += n
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), *(pa.array([v[k] for v in total.values()], pa.int64()) for k in range(4))], ["term", "clean", "toxic", "clean_uses", "toxic_uses"])
+
+    terms = labelled.select("text", "label").mapInArrow(count, "term string, clean long, toxic long, clean_uses long, toxic_uses long")
+    terms = written(terms.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("clean", "toxic", "clean_uses", "toxic_uses")]))
+    all_rows = terms.filter("term = ''").first()
+    if not all_rows or not all_rows["toxic"] or not all_rows["clean"]:
         return {}
-    t, c = F.col("toxic"), F.col("clean")
-    seen, share = t + c, bad / (bad + good)
+    t, c, share = F.col("toxic"), F.col("clean"), all_rows["toxic"] / (all_rows["toxic"] + all_rows["clean"])
     part = lambda x, expected: F.when(x > 0, x * F.log(x / expected)).otherwise(0.0)
-    ratio = 2 * (part(t, seen * share) + part(c, seen * (1 - share)))
-    weight = F.log((t + 0.5) / (bad + 1)) - F.log((c + 0.5) / (good + 1))
-    terms = labelled.select("text", "label").mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    rows = terms.select("term", ratio.alias("ratio"), weight.alias("weight")).filter((F.col("ratio") >= LEAST_RATIO) & (F.col("weight") >= 2)).orderBy(F.desc("ratio"), "term").limit(LEXICON).collect()
-    kept: dict[str, float] = {}
+    ratio = 2 * (part(t, (t + c) * share) + part(c, (t + c) * (1 - share)))
+    weight = F.log((F.col("toxic_uses") + 0.5) / (all_rows["toxic_uses"] + 1)) - F.log((F.col("clean_uses") + 0.5) / (all_rows["clean_uses"] + 1))
+    rows = terms.select("term", "toxic", "clean", ratio.alias("ratio"), weight.alias("weight")).filter((F.col("term") != "") & (F.col("ratio") >= LEAST_RATIO) & (F.col("weight") >= LEAST_WEIGHT)).collect()
+    discard(terms)
+    kept: dict[str, tuple[float, int, int]] = {}
     for r in sorted(rows, key=lambda r: (len(r["term"]), r["term"])):
         word = r["term"].rstrip("$")
-        if all(r["weight"] > kept.get(word[:k], 0) for k in PREFIXES):
-            kept[r["term"]] = r["weight"]
-    return kept
+        above = [kept[word[:k]] for k in PREFIXES if word[:k] != r["term"] and word[:k] in kept]
+        if all(r["weight"] > w and _ratio(r["toxic"], r["clean"], b / (b + g)) >= LEAST_RATIO for w, b, g in above):
+            kept[r["term"]] = r["weight"], r["toxic"], r["clean"]
+    return {term: w for term, (w, _, _) in kept.items()}
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Weights and bias (last) by Newton's steps."""
+def _logistic(x: np.ndarray, y: np.ndarray, signs: np.ndarray, prior: np.ndarray, ridge: float = 2.0, steps: int = 4000) -> np.ndarray:
+    """Weights and bias (last), the weights of the given signs, by accelerated projected gradient steps."""
     x = np.column_stack([x, np.ones(len(x))])
-    w, keep = np.zeros(x.shape[1]), np.r_[np.full(x.shape[1] - 1, ridge), 1e-3]
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(keep), x.T @ (y - p) - keep * w)
-        w = w + step
-        if np.abs(step).max() < 1e-8:
-            break
+    signs, centre, keep = np.r_[signs, 0], np.r_[prior, 0.0], np.r_[np.full(x.shape[1] - 1, ridge), 1e-3]
+    rate = 1 / (0.25 * np.linalg.eigvalsh(x.T @ x)[-1] + ridge)
+    w = ahead = centre
+    momentum = 1.0
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ ahead, -30, 30)))
+        new = ahead - rate * (x.T @ (p - y) + keep * (ahead - centre))
+        new = np.where(signs * new < 0, 0.0, new)
+        following = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
+        ahead, w, momentum = new + (momentum - 1) / following * (new - w), new, following
     return w
 
 
@@ -252,7 +304,8 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 8000) -> Model | None:
         return None
     x = np.array(rows["x"].tolist())
     order = np.lexsort((*x.T, rows["label"]))  # the same sums whatever order the rows came in
-    w = _logistic(x[order], (rows["label"].to_numpy()[order] > 0).astype(float))
+    signs, prior = (np.array(v, float) for v in zip(*FEATURES.values()))
+    w = _logistic(x[order], (rows["label"].to_numpy()[order] > 0).astype(float), signs, prior)
     return Model(insults, w[:-1], float(w[-1]))
 
 

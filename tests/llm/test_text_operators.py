@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from rangeloom.llm import jaccard, langid, lmscore, quality, toxicity
+from rangeloom.llm import jaccard, langid, quality, toxicity
 from rangeloom.llm.bpe import bpe_digest, encode_documents, load
 from rangeloom.llm.grams import gram_counts, shape_terms
 from rangeloom.llm.packing import best_fit, pack, pack_documents, swap_search
@@ -125,13 +125,43 @@ def test_toxicity(spark):
     assert {r["score"] for r in toxicity.classify(df, labels.limit(0)).collect()} == {0.0}
 
 
+def kinds_of(text, lexicon, fst):
+    """The kinds of all matched clauses of a text."""
+    return {kind for clause in toxicity.clauses(text, lexicon, fst)[0] for kind in clause}
+
+
 def test_grammar():
     fst, lexicon = toxicity.grammar(), toxicity.Lexicon({"fool$": 2.0, "clod": 1.0})
-    at = lambda text: {k: v for k, v in zip(toxicity.KINDS, toxicity.matches(text, lexicon, fst)) if v}
-    assert set(at("What a fool")) == {"insult"} and set(at("you fool")) == {"insult+"} and set(at("cloddish")) == {"insult"}
-    assert set(at("he is not a fool. clod")) == {"insult-+", "insult"}
-    assert set(at("she said you fool")) == {"insult~+"} and set(at("she said: fool")) == {"insult"}
-    assert set(at("I will kill you")) == set() and set(at("you I will kill")) == {"threat+"} and at("fools") == {}
+    at = lambda text: kinds_of(text, lexicon, fst)
+    assert at("What a fool") == {"insult"} and at("you fool") == {"insult+"} and at("cloddish") == {"insult"}
+    assert at("he is not a fool. clod") == {"insult-+", "insult"}
+    assert at("she said you fool") == {"insult~+"} and at("stones were said: fool") == {"insult"}
+    assert at("I will kill you") == at("you I will kill") == {"threat+"} and at("fools") == set()
+
+
+def test_grammar_equals_a_plain_matcher():
+    """The composed transducer against sets of a clause's symbols, over random symbols."""
+    rng, fst = random.Random(6), toxicity.grammar()
+    for _ in range(300):
+        symbols = rng.choices(["insult", "threat", "target", "negation", "reported", "end"], weights=[3, 3, 1, 1, 1, 2], k=rng.randint(0, 25))
+        expected, at = [], 0
+        for clause in " ".join(symbols).split("end"):
+            own = clause.split()
+            marks = "".join(m for m, s in (("-", "negation"), ("~", "reported"), ("+", "target")) if s in own)
+            expected += [s + marks if s in ("insult", "threat") else s for s in own] + ["end"]
+        assert toxicity.both_ways(symbols, fst) == expected[:-1]
+
+
+def test_marks_move_the_score_one_way(spark):
+    df, labels = _labelled(spark)
+    model = toxicity.fit(df, labels)
+    signs = np.array([s for s, _ in toxicity.FEATURES.values()])
+    assert (signs * model.weights >= 0).all()
+    rows = [(1, "he is a grumph"), (2, "he is not a grumph"), (3, "she said he is a grumph"), (4, "a grumph"), (5, "I will kill you"), (6, "I will not kill you"), (7, "a calm day")]
+    score = {r["doc_id"]: r["score"] for r in toxicity.predict(docs(spark, rows), model).collect()}
+    assert score[1] > score[4] and score[1] > score[2] and score[1] > score[3] and score[5] > score[6] > score[7]
+    again = toxicity.predict(docs(spark, [(1, rows[0][1]), (1, rows[0][1]), (9, "he is a grumph")]), model).collect()
+    assert len(again) == 3 and {r["score"] for r in again} == {score[1]}
 
 
 def test_quality(spark):
@@ -191,6 +221,42 @@ def test_jaccard(spark):
     assert jaccard.jaccard_components(docs(spark, [])).count() == 0
 
 
+def near_copies(seed, length, n, changes):
+    rng, own = random.Random(seed), words(seed, length, 10**6)
+    out = []
+    for k in range(n):
+        new = list(own)
+        for at in rng.sample(range(length), changes):
+            new[at] = f"r{seed}x{k}x{at}"
+        out.append(" ".join(new))
+    return out
+
+
+@pytest.mark.parametrize("hot,part,block", [(256, 2048, 256), (4, 6, 5)])
+def test_jaccard_of_groups_and_repeated_ids(spark, monkeypatch, hot, part, block):
+    """Large groups of near copies, a group just under the threshold, and ids with several texts; small parts force every route."""
+    for name, value in (("HOT", hot), ("PART", part), ("BLOCK", block), ("DENSE", 1 if part < 100 else 64), ("FLUSH", 3000), ("UNIT", 2000)):
+        monkeypatch.setattr(jaccard, name, value)
+    rows = [(k, t) for k, t in enumerate(near_copies(1, 100, 40, 1) + near_copies(2, 100, 30, 2) + near_copies(3, 60, 25, 3))]
+    rows += [(500 + k, "\n".join([near_copies(4, 40, 1, 0)[0], " ".join(words(900 + k, 90, 10**6))])) for k in range(30)]
+    a, b, c = (" ".join(words(70 + k, 30, 10**6)) for k in range(3))
+    rows += [(603, a), (605, a), (605, b), (607, b), (609, ""), (609, c), (601, c), (605, a), (610, "  ")]
+    expected, _ = brute_jaccard(rows)
+    clash = docs(spark, [(i, t, 1, "x") for i, t in rows], "doc_id long, text string, n long, component_id string")
+    out = jaccard.jaccard_components(clash).collect()
+    assert len(out) == len(rows) and all(r["component_id"] == expected[r["doc_id"]] for r in out)
+    assert expected[607] == 603 and expected[609] == 601
+    kept = jaccard.keep_first(clash)
+    assert kept.columns == clash.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(expected.values()))
+
+
+def test_lists_are_covered():
+    rng = np.random.default_rng(3)
+    lists = [np.sort(rng.choice(60, rng.integers(2, 12), replace=False)) for _ in range(200)]
+    groups_found = [set(g.tolist()) for g in jaccard.gathered_lists(lists, 20)]
+    assert all(any(set(x.tolist()) <= g for g in groups_found) for x in lists) and all(len(g) <= 20 for g in groups_found)
+
+
 def test_pigeonhole_never_misses():
     rng = np.random.default_rng(4)
     for n in [1, 2, 3, 4, 5, 7, 9, 12, 20, 33, 80, 300, 1500]:
@@ -202,25 +268,3 @@ def test_pigeonhole_never_misses():
                 assert len(np.intersect1d(jaccard.entries(a), jaccard.entries(b)))
                 x, y = (np.unpackbits(np.frombuffer(jaccard.parity(s), "uint8")) for s in (a, b))
                 assert (x != y).sum() <= len(np.setxor1d(a, b))
-
-
-def test_language_model(spark):
-    rows = ODD + [(100 + k, " ".join(words(k, 80, 50 if k % 2 else 3000))) for k in range(60)]
-    marks = docs(spark, [(100 + k, k % 2) for k in range(60)] + [(None, 1), (101, 0), (8, None)], "doc_id long, target int")
-    out = {r["doc_id"]: r for r in lmscore.cross_entropy_difference(docs(spark, rows), marks).collect()}
-    assert out[1]["n_tokens"] == 0 and out[1]["score"] == 0
-    bpe, start = load(), 49406
-    counts = [(np.zeros(len(bpe.text_of)), np.zeros(1 << lmscore.BITS)) for _ in range(2)]
-    ids = [(i, np.frombuffer(bpe.encode(t), "uint32")) for i, t in rows]
-    for i, a in ids:
-        if len(a):
-            for k in (0, 1) if i is not None and i >= 100 and i % 2 else (1,):
-                np.add.at(counts[k][0], np.r_[start, a], 1)
-                np.add.at(counts[k][1], lmscore.neighbours(a, start)[1], 1)
-    for i, a in ids:
-        if i is not None and i >= 100:
-            before, cells = lmscore.neighbours(a, start)
-            loss = [lmscore.Model(*c).losses(before, a, cells).mean() for c in counts]
-            assert out[i]["score"] == pytest.approx(loss[0] - loss[1], abs=1e-5)
-    assert np.mean([out[100 + k]["score"] for k in range(1, 60, 2)]) < np.mean([out[100 + k]["score"] for k in range(0, 60, 2)])
-    assert lmscore.cross_entropy_difference(docs(spark, []), marks).count() == 0

@@ -44,6 +44,28 @@ def test_cover_tree_pairs(spark, cell, part):
     assert len(out) == len(rows) + len(odd)
 
 
+@pytest.mark.parametrize("cell,part", [(8192, 32768), (20, 15)])
+def test_cover_tree_dense_balls_and_repeated_ids(spark, cell, part):
+    r = np.random.default_rng(7)
+    rows = [(k, (np.array([3.0, 1, 0, 0]) + r.normal(size=4) * s).astype("float32").tolist(), 0) for k, s in enumerate([0.01] * 80 + [0.3] * 60 + [0.9] * 60)]
+    rows += [(300, rows[0][1], 0), (302, rows[0][1], 0), (302, [0.0, 0.0, 0.0, 1.0], 9), (304, [0.0, 0.0, 0.0, 2.0], 9), (304, None, 9), (306, [0.0, 1.0, 0.0, 0.0], 5), (306, [1.0, 0.0, 0.0, 0.0], 5), (305, [1.0, 0.0, 0.0, 0.0], 5)]
+    # cosines of exactly 0.8, and a hair less: the threshold itself links
+    rows += [(400, [3.0, 4.0, 0.0, 0.0], 7), (401, [0.0, 1.0, 0.0, 0.0], 7), (402, [-3.0000002, 4.0, 0.0, 0.0], 7)]
+    for least in (0.93, 0.8):
+        x = [np.array(v, float) if v else None for _, v, _ in rows]
+        near = np.zeros((len(rows), len(rows)), bool)
+        for i in range(len(rows)):
+            for j in range(i):
+                if rows[i][2] == rows[j][2] and x[i] is not None and x[j] is not None:
+                    near[i, j] = near[j, i] = float(x[i] @ x[j]) / float(np.sqrt((x[i] @ x[i]) * (x[j] @ x[j]))) >= least
+        ids = [a[0] for a in rows]
+        component = groups([(ids[i], ids[j]) for i, j in zip(*np.nonzero(near))], ids)
+        schema = VECTORS + ", n_links string, id int, key int"
+        out = covertree.near_pairs(spark.createDataFrame([(*a, "x", 1, 2) for a in rows], schema), least, cell=cell, part=part).collect()
+        key = lambda a: (a[0], a[1])
+        assert sorted(((o["vec_id"], o["n_links"], o["component_id"], o["kept"]) for o in out), key=key) == sorted(((i, int(near[k].sum()), component[i], component[i] == i) for k, i in enumerate(ids)), key=key)
+
+
 def test_cover_tree_empty(spark):
     assert covertree.near_pairs(spark.createDataFrame([], VECTORS)).count() == 0
 
@@ -65,6 +87,31 @@ def test_top_k(spark, block):
     assert topk.top_k(big, big).count() == 2
 
 
+def test_top_k_of_repeated_rows(spark):
+    """Every other row is a candidate: repeated rows take ranks of their own, and no rank is lost."""
+    rows = [(1, [10])] * 4 + [(k, [k]) for k in range(2, 8)] + [(50, [1]), (50, [1]), (50, [7])]
+    df = spark.createDataFrame([(i, v, "clash", 3) for i, v in rows], "vec_id long, v array<long>, query_id string, score int")
+    for block in (16_384, 1):
+        out = topk.top_k(df.filter("vec_id IN (50, 5)"), df, block=block).collect()
+        for q, own in ((50, 1), (5, 5)):
+            best = sorted((-own * v[0], i) for i, v in rows if i != q)[:5]
+            assert sorted((r["rank"], -r["score"], r["vec_id"]) for r in out if r["query_id"] == q) == [(k + 1, s, i) for k, (s, i) in enumerate(best)]
+
+
+def test_top_k_drops_pairs_and_stays_exact():
+    r = np.random.default_rng(4)
+    # directions differ much, so that bounds tell most pairs apart
+    v = np.floor(256 * r.normal(size=(3000, 64)) * np.repeat(r.choice([0.1, 1, 4], (3000, 8)), 8, axis=1)).astype("int64")
+    found = topk.Best(topk.ordered(topk.side(np.arange(100), v[:100])), 5)
+    for k in range(0, 3000, 700):
+        found.add(topk.side(np.arange(k, min(k + 700, 3000)), v[k : k + 700]))
+    q, i, s = found.rows
+    assert found.dropped > 0.3 * found.seen > 0
+    for at, own in enumerate(found.queries.ids):
+        best = sorted((-int(v[own] @ v[j]), j) for j in range(3000) if j != own)[:5]
+        assert [(-a, b) for a, b in zip(s[q == at], i[q == at])] == best
+
+
 CHAT = "conv_id long, turn long, role string, text string, formatted string"
 
 

@@ -43,14 +43,14 @@ def test_bigrams_are_counted_exactly(spark, monkeypatch):
 
 def test_clauses_are_marked_from_both_sides(spark):
     fst, lexicon = toxicity.grammar(), toxicity.Lexicon({"fool$": 2.0, "clod": 1.0})
-    at = lambda text: {k: v for k, v in zip(toxicity.KINDS, toxicity.matches(text, lexicon, fst)) if v}
-    assert set(at("I will kill you")) == {"threat+"} and set(at("Killing you. He kills")) == {"threat+"}
-    assert set(at("ich töte dich nicht")) == {"threat-+"} and set(at("te matarán a ellos")) == {"threat+"}
-    assert set(at("a fool you are")) == {"insult+"} and set(at("fool, she said")) == {"insult~+"} and set(at("you. fool. you")) == {"insult"}
-    assert at("I will kill") == {} and at("I will kill. you") == {}
+    at = lambda text: {kind for clause in toxicity.clauses(text, lexicon, fst)[0] for kind in clause}
+    assert at("I will kill you") == {"threat+"} and at("Killing you. He kills") == {"threat+"}
+    assert at("ich töte dich nicht") == {"threat-+"} and at("te matarán a ellos") == {"threat+"}
+    assert at("a fool you are") == {"insult+"} and at("fool, she said") == {"insult~+"} and at("you. fool. you") == {"insult"}
+    assert at("I will kill") == set() and at("I will kill. you") == set()
     # two insults in a clause are one matched clause with the weight of both
-    one, two = (toxicity.matches(t, lexicon, fst) for t in ("fool clod", "fool. clod"))
-    assert one[0] == two[0] == pytest.approx(np.log1p(3)) and one[-3] == np.log1p(1) and two[-3] == np.log1p(2)
+    one, two = (toxicity.clauses(t, lexicon, fst) for t in ("fool clod", "fool. clod"))
+    assert one == ([{"insult": 3.0}], 1, 2) and two == ([{"insult": 2.0}, {"insult": 1.0}], 2, 3)
 
     rows, labels = [], []
     for k in range(300):
