@@ -9,9 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where it is unset (local runs and tests)."""
+    """spark.checkpoint.dir; where it is unset, a temporary folder on a local master only: executors would not see it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="rangeloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found
