@@ -5,8 +5,9 @@ are the log ratio of the n-gram shares on both sides of the bit. A text's margin
 codeword, weighted by how well the bit told the sample apart; the codeword of least loss wins, and a text whose best
 two codewords are close is flagged as ambiguous.
 
-Learning takes at most ``per_language`` documents of each language (chosen by a hash of the id) from those with a
-language and outside the held-out fold, and at most ``languages`` languages, the most frequent first.
+Learning takes about ``per_language`` documents of each language at most (chosen by a hash of the id) from those with a
+language and outside the held-out fold; every language that has one is learned. The driver holds one row of n-gram shares
+for each language.
 
 Defined results: a null text, or one without any letter, is ``und`` with score 0 and is the only kind that is rejected;
 with no language learned, everything is ``und``. A null id is in no fold: it is scored, not held out, never learned
@@ -58,10 +59,10 @@ def codewords(k: int, seed: int = 3) -> np.ndarray:
     return best
 
 
-def fit(docs: DataFrame, per_language: int = 1500, languages: int = 200) -> Model:
+def fit(docs: DataFrame, per_language: int = 1500) -> Model:
     """Learn from documents (doc_id, text, lang) outside the held-out fold."""
     known = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", PARTS) != HELD_OUT))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    counts = known.groupBy("lang").count().orderBy("lang").collect()  # a row a language
     if not counts:
         return Model((), np.zeros((0, 1)), np.zeros((1 << BITS, 1)), np.ones(1))
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_language / r["count"]))])
@@ -84,7 +85,8 @@ def fit(docs: DataFrame, per_language: int = 1500, languages: int = 200) -> Mode
     if not names:
         return Model((), np.zeros((0, 1)), np.zeros((1 << BITS, 1)), np.ones(1))
     shares = np.zeros((len(names), 1 << BITS))
-    shares[[names.index(x) for x in rows["lang"]], rows["cell"]] = rows["share"].round(12)
+    place = {name: k for k, name in enumerate(names)}
+    shares[rows["lang"].map(place), rows["cell"]] = rows["share"].round(12)
     shares /= shares.sum(1, keepdims=True)
     code = codewords(len(names))
     side = [np.where(code == s, 1.0, 0.0).T @ shares / np.maximum((code == s).sum(0)[:, None], 1) for s in (1, -1)]
@@ -98,8 +100,10 @@ def fit(docs: DataFrame, per_language: int = 1500, languages: int = 200) -> Mode
 
 def decode(margins: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Index of the codeword of least weighted logistic loss, and each language's share of the evidence."""
-    z = margins[:, None, :] * model.code[None, :, :]
-    loss = np.log1p(np.exp(-4 * np.clip(z, -8, 8))) @ model.loss_weights
+    loss, step = np.empty((len(margins), len(model.code))), max(1, 4_000_000 // model.code.size)
+    for k in range(0, len(margins), step):
+        z = margins[k : k + step, None, :] * model.code[None, :, :]
+        loss[k : k + step] = np.log1p(np.exp(-4 * np.clip(z, -8, 8))) @ model.loss_weights
     evidence = np.exp(-4 * (loss - loss.min(1, keepdims=True)))
     return loss.argmin(1), evidence / evidence.sum(1, keepdims=True)
 
