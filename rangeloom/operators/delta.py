@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import time
+import uuid
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rangeloom.plans.layout import Layout, LayoutOptions, build_layout
+from rangeloom.plans.layout import Layout, LayoutOptions, build_layout, refuse_odd
 from rangeloom.plans.model import RangeQuery
 from rangeloom.plans.rewrite import answer
 from rangeloom.plans.tree import region_column
+from rangeloom.sources.shared import exists
 
 
 @dataclass(frozen=True)
@@ -24,9 +25,10 @@ class MergePolicy:
 
 @dataclass
 class DeltaTable:
-    """A layout with pending changes beside it, each batch a set of files: a lost task is simply run again.
+    """A layout with pending changes beside it, each batch a folder of its own: a lost task is simply run again.
 
-    ``max_row_id`` keeps the ids of new rows above all earlier ones.
+    A new row's id is its batch's name and its place there, so writers need not know of each other, and no id meets
+    another one's. Inserts and streams write alike (``delta/batch=NAME``).
     """
 
     layout: Layout
@@ -34,10 +36,8 @@ class DeltaTable:
     merged_at: float = field(default_factory=time.time)
 
     def _read(self, name: str) -> DataFrame | None:
-        try:
-            return self.layout.spark.read.parquet(f"{self.layout.path}/{name}")
-        except AnalysisException:
-            return None
+        path = f"{self.layout.path}/{name}"
+        return self.layout.spark.read.parquet(path).drop("batch") if exists(self.layout.spark, path) else None
 
     @property
     def delta(self) -> DataFrame | None:
@@ -49,26 +49,23 @@ class DeltaTable:
     def tombstones(self) -> DataFrame | None:
         return self._read("tombstones")
 
-    def _next_id(self) -> int:
-        ids = self.layout.main.select("_row_id")
-        pending = self._read("delta")
-        if pending is not None:
-            ids = ids.unionByName(pending.select("_row_id"))
-        return (ids.agg(F.max("_row_id")).first()[0] or 0) + 1
+    def put(self, rows: DataFrame, batch: str) -> DataFrame:
+        """Write rows (with the layout's columns) as one batch, each routed to its region; a batch of that name is replaced."""
+        path = f"{self.layout.path}/delta/batch={batch}"
+        ids = F.concat(F.lit(f"{batch}-"), F.monotonically_increasing_id().cast("string"))
+        placed = rows.select(*self.layout.columns).withColumn("_row_id", ids).withColumn("region_id", region_column(self.layout.tree).cast("int"))
+        refuse_odd(placed, self.layout.columns)
+        placed.write.mode("overwrite").parquet(path)
+        return self.layout.spark.read.schema(placed.schema).parquet(path)
 
     def insert(self, rows: DataFrame) -> DataFrame:
-        """Append rows with the layout's columns, each routed to its region; returns them with their ids."""
-        placed = rows.withColumn("_row_id", F.lit(self._next_id()) + F.monotonically_increasing_id()).withColumn("region_id", region_column(self.layout.tree).cast("int"))
-        path = f"{self.layout.path}/delta"
-        before = self._read("delta")
-        placed.write.mode("append").parquet(path)
-        now = self.layout.spark.read.parquet(path)
-        return now if before is None else now.join(before.select("_row_id"), "_row_id", "left_anti")
+        """Append rows; returns them with their ids."""
+        return self.put(rows, f"i{uuid.uuid4().hex}")
 
     def live(self) -> DataFrame:
         """Main rows without deleted ones, and pending rows."""
         columns, gone, pending = [*self.layout.columns, "_row_id"], self.tombstones, self.delta
-        out = self.layout.main.select(*[c for c in self.layout.main.columns if c not in ("region_id", "cell_id")])
+        out = self.layout.main.select(*[c for c in self.layout.main.columns if c not in ("region_id", "cell_id", "cell_key")])
         if gone is not None:
             out = out.join(gone.select("_row_id"), "_row_id", "left_anti")
         return out.select(*columns) if pending is None else out.select(*columns).unionByName(pending.select(*columns))

@@ -1,7 +1,7 @@
 """The clustered layout: regions as partitions, rows sorted by cell, and per cell a zone map with pre-aggregates.
 
-Files: ``main`` (rows with region_id, cell_id and _row_id), ``cells`` (a row a cell: rows, and each dimension's least,
-greatest value and sum) and ``meta`` (tree, skeleton and dimensions as JSON).
+Files: ``main`` (rows with region_id, cell_id, cell_key and _row_id), ``cells`` (a row a cell: rows, and each dimension's
+least, greatest value and sum) and ``meta`` (tree, skeleton and dimensions as JSON).
 """
 
 from __future__ import annotations
@@ -57,6 +57,21 @@ def assign_cells(df: DataFrame, tree: Node, skeleton: Skeleton) -> DataFrame:
     return out.withColumn("cell_id", cell.cast("int")).select(*[F.col(f"`{c}`") for c in df.columns], "region_id", "cell_id")
 
 
+def cell_key(region, cell):
+    """One number for a region's cell, in the order of the files: its ranges reach the scan's own filters."""
+    return region * (1 << 31) + cell
+
+
+def refuse_odd(df: DataFrame, columns: Sequence[str]) -> None:
+    """Raise where a dimension holds null, NaN or an infinity: zone maps could not tell what such rows match."""
+    odd = F.lit(False)
+    for c in columns:
+        x = F.col(f"`{c}`").cast("double")
+        odd = odd | x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    if not df.filter(odd).isEmpty():
+        raise QueryError(f"null, NaN or infinite values in {', '.join(columns)}: clean the rows first")
+
+
 def cell_table(main: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The zone map and pre-aggregates of rows with region_id and cell_id."""
     return main.groupBy("region_id", "cell_id").agg(*partials(columns))
@@ -88,7 +103,9 @@ class Layout:
         """The cells on the driver, or None where they are more than ZONE_MAP_CELLS: then plans read them as a table."""
         if self.cells.limit(ZONE_MAP_CELLS + 1).count() > ZONE_MAP_CELLS:
             return None
-        return self.cells.toArrow().to_pandas()
+        found = self.cells.toArrow().to_pandas()
+        found["cell_key"] = cell_key(found["region_id"].astype("int64"), found["cell_id"])
+        return found.sort_values("cell_key", ignore_index=True)
 
     @staticmethod
     def open(spark: SparkSession, path: str) -> Layout:
@@ -119,17 +136,19 @@ def choose_skeleton(df: DataFrame, columns: Sequence[str], queries: Sequence[Ran
 
 
 def build_layout(df: DataFrame, columns: Sequence[str], queries: Sequence[RangeQuery], path: str, options: LayoutOptions = LayoutOptions()) -> Layout:
-    """Write a clustered copy of df for a sample workload. Rows must be free of nulls in the dimensions."""
+    """Write a clustered copy of df for a sample workload. Rows with a null, NaN or infinite dimension are refused."""
     columns = tuple(columns)
     if not columns:
         raise QueryError("a layout needs a dimension")
+    refuse_odd(df, columns)
     tree = build_tree(df, columns, queries, options.tree)
     skeleton = choose_skeleton(df, columns, queries, tree.box, tree.rows, options)
-    placed = assign_cells(df.withColumn("_row_id", F.monotonically_increasing_id()), tree, skeleton)
+    placed = assign_cells(df.withColumn("_row_id", F.monotonically_increasing_id().cast("string")), tree, skeleton)
+    placed = placed.withColumn("cell_key", cell_key(F.col("region_id").cast("long"), F.col("cell_id")))
     # a range shuffle splits large regions over tasks and keeps each region's cells in order
-    placed.repartitionByRange("region_id", "cell_id").sortWithinPartitions("region_id", "cell_id", most_filtered(columns, queries)).write.mode("overwrite").partitionBy("region_id").parquet(f"{path}/main")
+    placed.repartitionByRange("cell_key").sortWithinPartitions("cell_key", most_filtered(columns, queries)).write.mode("overwrite").partitionBy("region_id").parquet(f"{path}/main")
     spark = df.sparkSession
-    cell_table(spark.read.parquet(f"{path}/main"), columns).coalesce(1).write.mode("overwrite").parquet(f"{path}/cells")
+    cell_table(spark.read.parquet(f"{path}/main"), columns).write.mode("overwrite").parquet(f"{path}/cells")
     meta = json.dumps({"columns": columns, "tree": tree.to_dict(), "skeleton": skeleton.to_dict(), "rows": tree.rows})
     spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
     return Layout(spark, path, columns, tree, skeleton, tree.rows)

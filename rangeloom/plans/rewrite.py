@@ -5,12 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rangeloom.operators.execute import merged, partials
-from rangeloom.plans.layout import Layout
+from rangeloom.plans.layout import Layout, cell_key
 from rangeloom.plans.model import Range, RangeQuery, Selection
 
 
@@ -71,8 +72,30 @@ def boundary_rows(layout: Layout, where: Selection, cells: CellSplit, extra: lis
     return pruned.join(cells.boundary.select("region_id", "cell_id"), ["region_id", "cell_id"], "left_semi")
 
 
-#: Boundary cells that a plan may list one by one; beyond that it joins them.
-LISTED_CELLS = 2000
+#: Ranges of cells that a plan lists.
+LISTED_RANGES = 48
+
+
+def cell_ranges(keys: np.ndarray, rows: np.ndarray, kind: np.ndarray, most: int = LISTED_RANGES) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """At most ``most`` closed ranges of keys (ascending) that hold every boundary cell, and the cells that they hold.
+
+    ``kind`` is 0 for cells without a match, 1 for boundary cells, 2 for cells wholly inside. Cells without a match may
+    lie in a range, since the filter drops their rows; of those wholly inside, the gaps with the fewest rows are scanned
+    instead of answered from sums where there would be more ranges.
+    """
+    edge = np.flatnonzero(kind == 1)
+    if not len(edge):
+        return [], np.zeros(len(keys), bool)
+    inside = np.concatenate([[0], np.cumsum(np.where(kind == 2, rows, 0))])
+    gaps = inside[edge[1:]] - inside[edge[:-1] + 1]  # rows of whole cells between neighbours
+    cut = np.zeros(len(gaps), bool)
+    wide = np.argsort(-gaps, kind="stable")[: most - 1]
+    cut[wide[gaps[wide] > 0]] = True
+    first, last = edge[np.r_[True, cut]], edge[np.r_[cut, True]]
+    held = np.zeros(len(keys), bool)
+    for a, b in zip(first, last):
+        held[a : b + 1] = True
+    return [(int(keys[a]), int(keys[b])) for a, b in zip(first, last)], held
 
 
 def _masks(zone_map: pd.DataFrame, where: Selection) -> tuple[pd.Series, pd.Series]:
@@ -95,24 +118,22 @@ def _masks(zone_map: pd.DataFrame, where: Selection) -> tuple[pd.Series, pd.Seri
 def _from_zone_map(layout: Layout, where: Selection, columns: list[str]) -> list[DataFrame] | None:
     """Partials of a clean layout planned on the driver: whole cells as one row of constants, the others as one scan.
 
-    None where the zone map or the list of boundary cells is too large for that.
+    None where the zone map is too large for that. The scan's filters are ranges of the stored cell key.
     """
     zone_map = layout.zone_map
     if zone_map is None:
         return None
     hit, whole = _masks(zone_map, where)
-    edge = zone_map[hit & ~whole]
-    if len(edge) > LISTED_CELLS:
-        return None
-    sure = zone_map[whole]
+    ranges, held = cell_ranges(zone_map["cell_key"].to_numpy(), zone_map["n"].to_numpy(), np.where(whole, 2, np.where(hit, 1, 0)))
+    sure = zone_map[whole & ~held]
     out = []
     if len(sure):
         sums = [F.lit(float(getattr(sure[f"{f}_{c}"], f)())).alias(f"{f}_{c}") for c in columns for f in ("sum", "min", "max")]
         out.append(layout.spark.range(1, numPartitions=1).select(F.lit(int(sure["n"].sum())).cast("long").alias("n"), *sums))
-    if len(edge) or not out:
-        key = F.col("region_id").cast("long") * (1 << 20) + F.col("cell_id")
-        codes = (edge["region_id"].astype("int64") * (1 << 20) + edge["cell_id"]).tolist()
-        rows = layout.main.filter(F.col("region_id").isin(sorted(set(edge["region_id"].tolist())))).filter(key.isin(codes)).filter(where.predicate())
+    if ranges or not out:
+        regions = sorted(set(zone_map["region_id"][held & hit].tolist()))
+        listed = reduce(lambda x, y: x | y, [F.col("cell_key").between(a, b) for a, b in ranges], F.lit(False))
+        rows = layout.main.filter(F.col("region_id").isin(regions)).filter(listed).filter(where.predicate())
         out.append(rows.agg(*partials(columns)))
     return out
 

@@ -20,6 +20,7 @@ from rangeloom.plans.tree import Node, TreeOptions, region_column
 from rangeloom.sources import tables
 from rangeloom.sources.lookups import Lookup, default_registry
 from rangeloom.sources.shared import fresh_path
+from rangeloom.streaming.ingest import stream_inserts
 
 DIMS = ("l_quantity", "l_extendedprice", "l_partkey", "ship_day")
 ROWS_SQL = "(SELECT *, CAST(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS DOUBLE) AS ship_day FROM lineitem)"
@@ -87,7 +88,7 @@ def range_many_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("count_all", F.round("sum_l_quantity", 2).alias("sum_q"), F.col("min_l_extendedprice").alias("min_p"), F.col("max_l_extendedprice").alias("max_p"), "n_matched")
 
 
-@registered("SELECT CAST(0 AS DOUBLE) AS sum_l_quantity, CAST(0 AS BIGINT) AS n_matched")
+@registered("SELECT coalesce(sum(l_quantity), 0) AS sum_l_quantity, count(*) AS n_matched FROM lineitem WHERE l_quantity <= 0")
 def range_empty_as_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = lineitem(spark, sf_dir)
     return execute.compat_zero(execute.aggregate(df, read_query(df, "SELECT SUM(l_quantity) FROM data WHERE l_quantity <= 0")))
@@ -138,6 +139,28 @@ def many_regions_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("name", "count_all", F.round("sum_l_quantity", 2).alias("sum_q"))
 
 
+def _named(name: str, grid: dict[str, str], where: str, sql_where: str) -> None:
+    """Register an aggregate over a named region of lineitem with made columns; the SQL states the region's numbers."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumns({c: F.expr(e) for c, e in grid.items()})
+        out = execute.aggregate(df, read_query(df, f"SELECT COUNT(*), AVG(l_extendedprice) FROM data WHERE {where}"))
+        return out.select("count_all", F.round("avg_l_extendedprice", 2).alias("mean"), "n_matched")
+
+    made = ", ".join(f'{e} AS "{c}"' for c, e in grid.items()).replace("D ", "::DOUBLE ")
+    QUERIES[name] = run
+    ORACLE_SQL[name] = f"SELECT count(*) AS count_all, round(avg(l_extendedprice), 2) AS mean, count(*) AS n_matched FROM (SELECT *, {made} FROM lineitem) WHERE {sql_where}"
+
+
+_COAST = {"Latitude": "33.005D + l_partkey % 200 / 100D", "Longitude": "-119.005D + l_orderkey % 200 / 100D"}
+_CITY = {"Latitude": "40.6005D + l_partkey % 250 / 1000D", "Longitude": "-74.0505D + l_orderkey % 300 / 1000D"}
+_named("place_region_agg", _COAST, "place = 'irvine' AND l_quantity >= 5", "Latitude BETWEEN 33.60 AND 33.75 AND Longitude BETWEEN -117.90 AND -117.70 AND l_quantity >= 5")
+_named("place_part_of_name_agg", _COAST, "places = 'river'", "Latitude BETWEEN 33.80 AND 34.10 AND Longitude BETWEEN -117.60 AND -117.20")
+_named("neighbourhood_region_agg", _CITY, "neighbourhood = 'Harlem' AND l_quantity <= 45", "Latitude BETWEEN 40.800 AND 40.830 AND Longitude BETWEEN -73.960 AND -73.920 AND l_quantity <= 45")
+_named("zone_region_agg", {"Elevation": "1800D + l_partkey % 2000", "Slope": "l_quantity"}, "zone = 'subalpine'", "Elevation BETWEEN 2800 AND 3200 AND Slope BETWEEN 8 AND 22")
+_named("zone_missing_column_agg", {"Elevation": "1800D + l_partkey % 2000"}, "zone = 'Montane' AND l_discount < 0.08", "Elevation BETWEEN 2400 AND 2800 AND l_discount <= 0.08")
+
+
 @registered()
 def lookup_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return default_registry().frame(spark)
@@ -184,9 +207,14 @@ def clean_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("odd_value"), 2).alias("total"), F.sum("event_id").alias("ids"))
 
 
-@registered()
+@registered("SELECT count(*) // 3 AS n_small, count(*) * 2 + 1 AS n_large, count(*) // 3 AS n_known FROM lineitem")
 def resized_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.resized(dims(spark, sf_dir), 100_000)
+    """A third of a table's rows, all of them rows of it, and twice as many and one, by copies with noise."""
+    df = lineitem(spark, sf_dir).select(F.col("l_orderkey").cast("double"), F.col("l_linenumber").cast("double"), "l_quantity")
+    n = df.count()
+    small, large = tables.resized(df, n // 3), tables.resized(df, 2 * n + 1)
+    known = small.distinct().join(df.distinct(), df.columns, "left_semi").count() + small.count() - small.distinct().count()
+    return spark.createDataFrame([(small.count(), large.count(), known)], "n_small long, n_large long, n_known long")
 
 
 @registered()
@@ -395,19 +423,19 @@ def indexed_row_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.agg(F.count_distinct("_row_id").alias("n"))
 
 
-def _delta(spark: SparkSession, sf_dir: str) -> DeltaTable:
-    df = dims(spark, sf_dir).filter("l_partkey >= 20")
+def _delta(spark: SparkSession, sf_dir: str, base: str = "true") -> DeltaTable:
+    df = dims(spark, sf_dir).filter(base)
     return DeltaTable(build_layout(df, DIMS, _workload(df), fresh_path(spark, "delta"), _OPTIONS))
 
 
 @registered(f"SELECT {_FIVE_SQL} FROM {ROWS_SQL} WHERE {_IBOX}")
 def delta_insert_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table, df = _delta(spark, sf_dir), dims(spark, sf_dir)
+    table, df = _delta(spark, sf_dir, "l_partkey >= 20"), dims(spark, sf_dir)
     table.insert(df.filter("l_partkey < 20"))
     return _five(table.query(read_query(df, f"SELECT {_FIVE} FROM data WHERE {_IBOX}")))
 
 
-@registered(f"SELECT {_FIVE_SQL} FROM {ROWS_SQL} WHERE {_IBOX} AND l_partkey >= 20 AND NOT (l_quantity = 30 AND l_partkey % 2 = 0)")
+@registered(f"SELECT {_FIVE_SQL} FROM {ROWS_SQL} WHERE {_IBOX} AND NOT (l_quantity = 30 AND l_partkey % 2 = 0)")
 def delta_delete_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     table, df = _delta(spark, sf_dir), dims(spark, sf_dir)
     table.delete(table.live().filter("l_quantity = 30 AND l_partkey % 2 = 0"))
@@ -415,7 +443,7 @@ def delta_delete_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered(f"""
-SELECT {_FIVE_SQL} FROM (SELECT CASE WHEN l_quantity = 30 THEN 35.0 ELSE l_quantity END AS l_quantity, l_extendedprice, l_partkey, ship_day FROM {ROWS_SQL} WHERE l_partkey >= 20) WHERE {_IBOX}
+SELECT {_FIVE_SQL} FROM (SELECT CASE WHEN l_quantity = 30 THEN 35.0 ELSE l_quantity END AS l_quantity, l_extendedprice, l_partkey, ship_day FROM {ROWS_SQL}) WHERE {_IBOX}
 """)
 def delta_update_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     table, df = _delta(spark, sf_dir), dims(spark, sf_dir)
@@ -423,9 +451,31 @@ def delta_update_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _five(table.query(read_query(df, f"SELECT {_FIVE} FROM data WHERE {_IBOX}")))
 
 
+@registered(f"SELECT {_FIVE_SQL} FROM {ROWS_SQL} WHERE {_IBOX}")
+def delta_mixed_stream_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows put in by a plain insert, then by a stream, then by an insert again: all of them count."""
+    table, df = _delta(spark, sf_dir, "l_partkey >= 20"), dims(spark, sf_dir)
+    source = fresh_path(spark, "stream")
+    df.filter("l_partkey >= 5 AND l_partkey < 12").write.parquet(source)
+    table.insert(df.filter("l_partkey >= 12 AND l_partkey < 20"))
+    stream_inserts(spark.readStream.schema(df.schema).parquet(source), table, fresh_path(spark, "checkpoint")).awaitTermination()
+    table.insert(df.filter("l_partkey < 5"))
+    return _five(table.query(read_query(df, f"SELECT {_FIVE} FROM data WHERE {_IBOX}")))
+
+
+@registered(f"SELECT {_FIVE_SQL} FROM {ROWS_SQL} WHERE {_IBOX} AND l_partkey % 7 <> 0 AND l_partkey % 11 <> 0")
+def indexed_with_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with NaN or null in a dimension are cleaned before a layout is built: the layout refuses them."""
+    key, df = F.col("l_partkey"), dims(spark, sf_dir)
+    odd = df.withColumn("l_quantity", F.when(key % 7 == 0, F.lit(float("nan"))).otherwise(F.col("l_quantity"))).withColumn("l_partkey", F.when(key % 11 != 0, key))
+    fit = tables.clean(odd)
+    layout = build_layout(fit, DIMS, _workload(fit), fresh_path(spark, "clean"), _OPTIONS)
+    return _five(rewrite.answer(layout, read_query(fit, f"SELECT {_FIVE} FROM data WHERE {_IBOX}")))
+
+
 @registered(f"SELECT {_FIVE_SQL} FROM {ROWS_SQL} WHERE {_IBOX}")
 def delta_compact_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table, df = _delta(spark, sf_dir), dims(spark, sf_dir)
+    table, df = _delta(spark, sf_dir, "l_partkey >= 20"), dims(spark, sf_dir)
     table.insert(df.filter("l_partkey < 20"))
     table = table.compact(fresh_path(spark, "compact"), _workload(df), force=True, options=_OPTIONS)
     return _five(table.query(read_query(df, f"SELECT {_FIVE} FROM data WHERE {_IBOX}")))

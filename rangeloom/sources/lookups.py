@@ -151,6 +151,10 @@ class Lookup:
         raise QueryError(f"unknown {self.kind} {name!r}; known: {', '.join(self.boxes)}")
 
 
+#: Rows of regions that the driver holds.
+LOOKUP_ROWS = 100_000
+
+
 @dataclass
 class LookupRegistry:
     """The kinds of region that queries may name."""
@@ -163,9 +167,12 @@ class LookupRegistry:
             self.lookups[word.lower()] = lookup
 
     def register_frame(self, kind: str, df: DataFrame, partial: bool = True) -> None:
-        """Register the rows (name, column, lo, hi) of a small DataFrame."""
+        """Register the rows (name, column, lo, hi) of a DataFrame of at most LOOKUP_ROWS rows; more of them are refused."""
+        found = df.select("name", "column", "lo", "hi").orderBy("name", "column").limit(LOOKUP_ROWS + 1).collect()
+        if len(found) > LOOKUP_ROWS:
+            raise QueryError(f"more than {LOOKUP_ROWS} rows of regions: join them as a table instead")
         boxes: dict[str, Box] = {}
-        for r in df.select("name", "column", "lo", "hi").orderBy("name", "column").limit(100_000).collect():
+        for r in found:
             boxes.setdefault(r["name"], {})[r["column"]] = (float(r["lo"]), float(r["hi"]))
         self.register(Lookup(kind, boxes, partial))
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rangeloom.plans.model import QueryError
+from rangeloom.sources.shared import fresh_path
 
 DATES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
@@ -117,59 +118,111 @@ def load_numeric(spark: SparkSession, path: str, max_rows: int | None = None, ru
     return df
 
 
+#: Buckets of random numbers in an exact sample: only rows of one of them are cut by a limit.
+DRAWS = 1 << 16
+
+
+def _exactly(df: DataFrame, rows: int, seed: int) -> DataFrame:
+    """A random sample of exactly ``rows`` rows, without a sort: whole buckets of random numbers, and a part of one more.
+
+    The numbers are drawn once and written, so that both passes see the same ones.
+    """
+    path = fresh_path(df.sparkSession, "draws")
+    df.withColumn("_draw", F.floor(F.rand(seed) * DRAWS).cast("int")).write.parquet(path)
+    drawn = df.sparkSession.read.parquet(path)
+    left, cut = rows, DRAWS
+    for r in drawn.groupBy("_draw").count().orderBy("_draw").collect():  # a row a bucket
+        if r["count"] > left:
+            cut = r["_draw"]
+            break
+        left -= r["count"]
+    whole = drawn.filter(F.col("_draw") < cut)
+    return (whole.unionByName(drawn.filter(F.col("_draw") == cut).limit(left)) if left and cut < DRAWS else whole).drop("_draw")
+
+
 def resized(df: DataFrame, rows: int, seed: int = 42, jitter: float = 0.01) -> DataFrame:
-    """About ``rows`` rows: a sample of a larger table, or copies of a smaller one with noise of jitter * deviation."""
+    """Exactly ``rows`` rows: a sample of a larger table, or copies of a smaller one with noise of jitter * deviation.
+
+    An empty table stays empty.
+    """
     n = df.count()
-    if rows <= n:
-        return df.sample(fraction=rows / max(n, 1), seed=seed) if rows < n else df
-    if not n:
+    if rows == n or not n:
         return df
+    if rows < n:
+        return _exactly(df, rows, seed)
     names = numeric_columns(df)
     spread = df.agg(*[F.stddev_pop(f"`{c}`").alias(str(k)) for k, c in enumerate(names)]).first()
     copies = df.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(-(-rows // n)))))
-    noisy = [(F.col(f"`{c}`") + F.randn(seed + k) * (jitter * (spread[str(k)] or 0.0))).alias(c) if c in names else F.col(f"`{c}`") for k, c in enumerate(df.columns)]
-    return copies.select(*noisy).sample(fraction=min(1.0, rows / (n * -(-rows // n))), seed=seed)
+    noisy = [(F.col(f"`{c}`") + F.randn(seed + k) * (jitter * (spread[str(names.index(c))] or 0.0))).alias(c) if c in names else F.col(f"`{c}`") for k, c in enumerate(df.columns)]
+    return _exactly(copies.select(*noisy), rows, seed)
 
 
 def _clip(x: Column, lo: float, hi: float) -> Column:
     return F.least(F.greatest(x, F.lit(lo)), F.lit(hi))
 
 
+@dataclass(frozen=True)
+class Dimension:
+    """A column of a synthetic table: its range, how it follows hidden factors, and how far its values crowd at the low end.
+
+    A loading of 1 makes the column a function of its factor; what the loadings leave is noise of its own.
+    """
+
+    lo: float
+    hi: float
+    loads: dict[str, float] = field(default_factory=dict)
+    crowding: float = 1.0
+
+
+def synthetic(spark: SparkSession, rows: int, seed: int, dims: dict[str, Dimension]) -> DataFrame:
+    """Rows of correlated dimensions: standard normal factors are mixed, flattened to 0..1, bent and stretched to the range."""
+    factors = sorted({f for d in dims.values() for f in d.loads})
+    df = spark.range(rows).select(*[F.randn(seed + k).alias(f"_{f}") for k, f in enumerate(factors)], F.lit(0).alias("_"))
+    out = []
+    for k, (name, d) in enumerate(dims.items()):
+        own = max(0.0, 1.0 - sum(w * w for w in d.loads.values())) ** 0.5
+        mixed = own * F.randn(seed + len(factors) + k)
+        for f, w in d.loads.items():
+            mixed = mixed + w * F.col(f"_{f}")
+        flat = 1 / (1 + F.exp(-1.702 * mixed))  # close to the normal distribution's own function
+        out.append((d.lo + (d.hi - d.lo) * F.pow(flat, F.lit(d.crowding))).alias(name))
+    return df.select(*out)
+
+
+#: The ranges are fixed values of the published tables.
+HOUSING = {
+    "MedInc": Dimension(0.5, 15.0, {"wealth": 0.9}, 2.5),
+    "HouseAge": Dimension(1.0, 52.0),
+    "AveRooms": Dimension(0.8, 20.0, {"size": 0.9}, 2.5),
+    "AveBedrms": Dimension(0.3, 5.0, {"size": 0.85}, 2.5),
+    "Population": Dimension(3.0, 10_000.0, {}, 4.0),
+    "AveOccup": Dimension(0.7, 20.0, {}, 3.0),
+    "Latitude": Dimension(32.54, 41.95, {"north": 0.95}),
+    "Longitude": Dimension(-124.35, -114.31, {"north": -0.85}),
+    "MedHouseVal": Dimension(0.15, 5.0, {"wealth": 0.75, "north": 0.1}, 1.5),
+}
+TRIPS = {
+    "Latitude": Dimension(40.6, 40.85, {"up": 0.95}),
+    "Longitude": Dimension(-74.05, -73.75, {"east": 0.95}, 1.5),
+    "dropoff_lat": Dimension(40.6, 40.85, {"up": 0.9}),
+    "dropoff_lon": Dimension(-74.05, -73.75, {"east": 0.9}, 1.5),
+    "trip_distance": Dimension(0.1, 30.0, {"way": 0.999}, 3.5),
+    "fare_amount": Dimension(2.5, 150.0, {"way": 0.995}, 3.5),
+    "tip_amount": Dimension(0.0, 40.0, {"way": 0.9}, 4.0),
+    "passenger_count": Dimension(1.0, 6.99, {}, 3.0),
+    "duration_min": Dimension(1.0, 120.0, {"way": 0.93}, 3.0),
+}
+
+
 def synthetic_housing(spark: SparkSession, rows: int = 200_000, seed: int = 42) -> DataFrame:
-    """Housing blocks with correlated income and value; the ranges of each column are fixed values."""
-    normal = lambda k, mean, sd: mean + sd * F.randn(seed + k)
-    uniform = lambda k, lo, hi: lo + (hi - lo) * F.rand(seed + k)
-    df = spark.range(rows).select(
-        _clip(F.exp(normal(1, 1.05, 0.65)), 0.5, 15.0).alias("MedInc"),
-        uniform(2, 1.0, 52.0).alias("HouseAge"),
-        _clip(F.exp(normal(3, 1.7, 0.4)), 0.8, 20.0).alias("AveRooms"),
-        uniform(4, 3.5, 5.5).alias("_share"),
-        _clip(F.exp(normal(5, 6.5, 1.0)), 3.0, 10_000.0).alias("Population"),
-        _clip(F.exp(normal(6, 1.1, 0.5)), 0.7, 20.0).alias("AveOccup"),
-        uniform(7, 32.54, 41.95).alias("Latitude"),
-        uniform(8, -124.35, -114.31).alias("Longitude"),
-        normal(9, 0.0, 0.4).alias("_noise"),
-    )
-    coast = F.exp(-0.3 * F.abs(F.col("Longitude") + 119))
-    value = F.col("MedInc") * (0.45 + 0.3 * coast) + 0.05 * (52 - F.col("HouseAge")) / 52 + F.col("_noise")
-    return df.select("MedInc", "HouseAge", "AveRooms", _clip(F.col("AveRooms") / F.col("_share"), 0.3, 5.0).alias("AveBedrms"), "Population", "AveOccup", "Latitude", "Longitude", _clip(value, 0.15, 5.0).alias("MedHouseVal"))
+    """Housing blocks: value follows income, bedrooms follow rooms, and the coast runs from north-west to south-east."""
+    return synthetic(spark, rows, seed, HOUSING)
 
 
 def synthetic_trips(spark: SparkSession, rows: int = 200_000, seed: int = 7) -> DataFrame:
-    """Taxi trips whose fare follows distance, tip follows fare, and drop-off follows pick-up."""
-    normal = lambda k, sd: sd * F.randn(seed + k)
-    near = lambda c, k, lo, hi: _clip(F.col(c) + normal(k, 0.025), lo, hi)
-    df = spark.range(rows).select(_clip(40.73 + normal(1, 0.06), 40.6, 40.85).alias("Latitude"), _clip(-73.98 + normal(2, 0.055), -74.05, -73.75).alias("Longitude"))
-    df = df.withColumns({"dropoff_lat": near("Latitude", 3, 40.6, 40.85), "dropoff_lon": near("Longitude", 4, -74.05, -73.75)})
-    apart = F.hypot(F.col("dropoff_lat") - F.col("Latitude"), F.col("dropoff_lon") - F.col("Longitude"))
-    df = df.withColumn("trip_distance", _clip(apart * 120 + F.exp(0.5 + normal(5, 0.6)), 0.1, 30.0))
-    df = df.withColumn("fare_amount", _clip(2.5 + 2.5 * F.col("trip_distance") + normal(6, 1.5), 2.5, 150.0))
-    df = df.withColumn("tip_amount", _clip(0.18 * F.col("fare_amount") + normal(7, 0.8), 0.0, 40.0))
-    return df.withColumns({
-        "passenger_count": F.floor(1 + 6 * F.rand(seed + 8)).cast("double"),
-        "duration_min": _clip(3.5 * F.col("trip_distance") + normal(9, 3.0), 1.0, 120.0),
-        "total_amount": _clip(F.col("fare_amount") + F.col("tip_amount") + 0.3 + 0.7 * F.rand(seed + 10), 2.5, 200.0),
-    })
+    """Taxi trips whose fare follows distance, tip follows fare, and drop-off follows pick-up; the total is fare, tip and a fee."""
+    df = synthetic(spark, rows, seed, TRIPS).withColumn("passenger_count", F.floor("passenger_count").cast("double"))
+    return df.withColumn("total_amount", F.least(F.col("fare_amount") + F.col("tip_amount") + F.rand(seed - 1), F.lit(200.0)))
 
 
 def synthetic_forest(spark: SparkSession, rows: int = 200_000, seed: int = 11) -> DataFrame:

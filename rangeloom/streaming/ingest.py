@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
@@ -10,17 +12,11 @@ from rangeloom.operators.delta import DeltaTable
 
 def stream_inserts(rows: DataFrame, table: DeltaTable, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Insert a stream of rows (the layout's columns) batch by batch. A batch that is run again writes its own folder
-    again, so none is counted twice."""
-    spark, layout = table.layout.spark, table.layout
+    again, so none is counted twice; the checkpoint's name keeps the batches of several streams apart."""
+    stream = f"s{zlib.crc32(checkpoint.encode()):08x}"
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        from pyspark.sql import functions as F
-
-        from rangeloom.plans.tree import region_column
-
-        # ids of streamed rows lie in a range of their own, one block a batch
-        ids = F.lit((1 << 61) + (batch_id << 40)) + F.monotonically_increasing_id()
-        batch.select(*layout.columns).withColumn("_row_id", ids).withColumn("region_id", region_column(layout.tree).cast("int")).write.mode("overwrite").parquet(f"{layout.path}/delta/batch={batch_id}")
+        table.put(batch, f"{stream}-{batch_id}")
 
     writer = rows.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

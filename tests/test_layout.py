@@ -11,7 +11,7 @@ from rangeloom.operators.execute import aggregate
 from rangeloom.operators.zorder import ZOrderTable
 from rangeloom.plans import rewrite
 from rangeloom.plans.layout import Layout, LayoutOptions, build_layout
-from rangeloom.plans.model import Aggregate, Range, RangeQuery, Selection
+from rangeloom.plans.model import Aggregate, QueryError, Range, RangeQuery, Selection
 from rangeloom.plans.skeleton import CONDITIONAL, FUNCTIONAL, Correlations, CostModel, Skeleton, Strategy, initial_skeleton, optimise
 from rangeloom.plans.tree import TreeOptions
 from rangeloom.sources import tables
@@ -114,6 +114,56 @@ def test_streamed_inserts(spark, table, tmp_path):
     same(t.query(query(d2=(5, 60))), aggregate(table, query(d2=(5, 60))))
 
 
+@pytest.mark.parametrize("order", ["insert stream insert", "stream insert stream"])
+def test_inserts_and_streams_mix(spark, table, tmp_path, order):
+    t = DeltaTable(build_layout(table.filter("d0 < 40"), ["d0", "d1", "d2"], [], str(tmp_path / "m"), LayoutOptions(max_cells=8)))
+    parts = ["d0 >= 40 AND d0 < 60", "d0 >= 60 AND d0 < 80", "d0 >= 80"]
+    for k, (way, where) in enumerate(zip(order.split(), parts)):
+        rows = table.filter(where)
+        if way == "insert":
+            assert t.insert(rows).count() == rows.count()
+        else:
+            rows.write.parquet(str(tmp_path / f"in{k}"))
+            stream_inserts(spark.readStream.schema(table.schema).parquet(str(tmp_path / f"in{k}")), t, str(tmp_path / f"cp{k}")).awaitTermination(120)
+        same(t.query(query(d2=(5, 60))), aggregate(table.filter(f"d0 < {(60, 80, 1000)[k]}"), query(d2=(5, 60))))
+    assert t.live().select("_row_id").distinct().count() == table.count()
+    t.delete(t.live().filter("d0 >= 70"))
+    same(t.query(query(d2=(5, 60))), aggregate(table.filter("d0 < 70"), query(d2=(5, 60))))
+    # what cannot be read is no empty delta
+    (tmp_path / "m" / "delta" / "batch=broken").mkdir()
+    (tmp_path / "m" / "delta" / "batch=broken" / "x.parquet").write_text("no parquet")
+    with pytest.raises(Exception):
+        t.query(query(d2=(5, 60))).collect()
+
+
+def test_odd_values_are_refused(spark, layout, tmp_path):
+    for odd in (float("nan"), float("inf"), None):
+        df = spark.createDataFrame([(1.0, 2.0, 3.0), (1.0, odd, 3.0)], "d0 double, d1 double, d2 double")
+        with pytest.raises(QueryError):
+            build_layout(df, ["d0", "d1", "d2"], [], str(tmp_path / "odd"))
+        with pytest.raises(QueryError):
+            DeltaTable(layout).insert(df)
+    assert DeltaTable(layout).delta is None
+
+
+def test_cell_ranges_hold_every_boundary_cell():
+    rng = random.Random(2)
+    for _ in range(200):
+        n = rng.randint(1, 60)
+        keys, rows = np.cumsum([rng.randint(1, 5) for _ in range(n)]), np.array([rng.randint(1, 100) for _ in range(n)])
+        kind = np.array(rng.choices([0, 1, 2], k=n))
+        ranges, held = rewrite.cell_ranges(keys, rows, kind, most=rng.choice([1, 3, 50]))
+        inside = np.array([any(a <= k <= b for a, b in ranges) for k in keys])
+        assert (inside == held).all() and held[kind == 1].all()
+    ranges, held = rewrite.cell_ranges(np.arange(6), np.array([1, 9, 1, 2, 1, 1]), np.array([1, 2, 1, 2, 1, 0]), most=2)
+    assert ranges == [(0, 0), (2, 4)] and held.tolist() == [True, False, True, True, True, False]
+
+
+def test_the_cell_key_is_pushed(layout):
+    plan = rewrite.answer(layout, query(d0=(8, 15), d2=(80, 90)))._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(cell_key" in plan and "PartitionFilters: [region_id" in plan
+
+
 def test_maps_hold_for_every_row(table):
     (m,) = stats.linear_maps(table, [("d1", "d0")])
     assert m.width < 0.1
@@ -175,5 +225,13 @@ def test_tables(spark, tmp_path):
     wide.coalesce(1).write.csv(path, header=True)
     loaded = tables.load_numeric(spark, path, max_rows=400)
     assert loaded.count() == 400 and set(loaded.columns) == {"id", "two_words", "at_epoch"}
-    assert tables.resized(loaded, 100).count() < 200 and 900 < tables.resized(loaded, 1000).count() <= 1100
-    assert tables.synthetic_trips(spark, 50).count() == 50
+    small = tables.resized(loaded, 100)
+    assert small.count() == 100 == small.join(loaded, loaded.columns, "left_semi").count() == small.distinct().count()
+    assert [tables.resized(loaded, n).count() for n in (400, 401, 1000)] == [400, 401, 1000] and tables.resized(loaded.limit(0), 5).count() == 0
+    trips = tables.synthetic_trips(spark, 5000)
+    assert trips.count() == 5000
+    assert trips.stat.corr("trip_distance", "fare_amount") > 0.95 and trips.stat.corr("Latitude", "dropoff_lat") > 0.6
+    for df, dims in ((trips, tables.TRIPS), (tables.synthetic_housing(spark, 5000), tables.HOUSING)):
+        for c, d in dims.items():
+            lo, hi = df.selectExpr(f"min({c})", f"max({c})").first()
+            assert d.lo <= lo < hi <= d.hi
