@@ -126,16 +126,18 @@ def _from_zone_map(layout: Layout, where: Selection, columns: list[str]) -> list
     hit, whole = _masks(zone_map, where)
     ranges, held = cell_ranges(zone_map["cell_key"].to_numpy(), zone_map["n"].to_numpy(), np.where(whole, 2, np.where(hit, 1, 0)))
     sure = zone_map[whole & ~held]
-    out = []
-    if len(sure):
-        sums = [F.lit(float(getattr(sure[f"{f}_{c}"], f)())).alias(f"{f}_{c}") for c in columns for f in ("sum", "min", "max")]
-        out.append(layout.spark.range(1, numPartitions=1).select(F.lit(int(sure["n"].sum())).cast("long").alias("n"), *sums))
-    if ranges or not out:
-        regions = sorted(set(zone_map["region_id"][held & hit].tolist()))
-        listed = reduce(lambda x, y: x | y, [F.col("cell_key").between(a, b) for a, b in ranges], F.lit(False))
-        rows = layout.main.filter(F.col("region_id").isin(regions)).filter(listed).filter(where.predicate())
-        out.append(rows.agg(*partials(columns)))
-    return out
+    number = lambda v: f"CAST('{float(v)!r}' AS DOUBLE)"
+    known = {f"{f}_{c}": number(getattr(sure[f"{f}_{c}"], f)()) for c in columns for f in ("sum", "min", "max")} if len(sure) else {}
+    if not ranges and known:
+        return [layout.spark.range(1, numPartitions=1).selectExpr(f"CAST({int(sure['n'].sum())} AS BIGINT) AS n", *[f"{v} AS `{k}`" for k, v in known.items()])]
+    # one expression each, since a plan built of many small ones takes longer to build than to run
+    regions = ", ".join(map(str, sorted(set(zone_map["region_id"][held & hit].tolist())))) or "NULL"
+    listed = " OR ".join(f"cell_key BETWEEN {a} AND {b}" for a, b in ranges) or "false"
+    found = layout.main.filter(f"region_id IN ({regions}) AND ({listed})").filter(where.predicate()).agg(*partials(columns))
+    if known:
+        both = {"sum": "coalesce(`{0}`, 0D) + {1} AS `{0}`", "min": "least(`{0}`, {1}) AS `{0}`", "max": "greatest(`{0}`, {1}) AS `{0}`"}
+        found = found.selectExpr(f"n + {int(sure['n'].sum())} AS n", *[both[k[:3]].format(k, v) for k, v in known.items()])
+    return [found]
 
 
 def answer(layout: Layout, query: RangeQuery, tombstones: DataFrame | None = None, delta: DataFrame | None = None) -> DataFrame:
