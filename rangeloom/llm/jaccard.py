@@ -300,6 +300,12 @@ def _lists(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["list", "part", "several", "names"])
 
 
+def _regather(rows: pd.DataFrame) -> pd.DataFrame:
+    """Lists that overlap for the most part become one; those of one group of near copies mostly share their first member."""
+    groups = gathered_lists([np.asarray(own) for own in rows["names"]], PART)
+    return pd.DataFrame({"list": [xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63) for own in groups], "part": 0, "several": False, "names": groups})
+
+
 def _may_link(n: np.ndarray, m: np.ndarray, differ: np.ndarray) -> np.ndarray:
     """Whether sets of these sizes that differ in so many shingles at least can still link."""
     return (9 * differ <= n + m) & (5 * np.minimum(n, m) >= 4 * np.maximum(n, m))
@@ -556,7 +562,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     packed = docs.filter("doc_id IS NOT NULL").select("text").mapInArrow(_index(buckets), "bucket long, list long, names binary, counts binary, entries binary")
     lists = packed.groupBy("bucket").applyInPandas(_lists, "list long, part long, several boolean, names array<long>")
     raw = written(lists)
-    members = written(_joined(raw.groupBy("list", "part").agg(F.any_value("several").alias("several"), F.any_value("names").alias("names")), classes))
+    # the buckets have dealt the lists of a group of near copies apart: they meet again by their first members
+    short = raw.filter("NOT several").select(F.pmod(F.xxhash64(F.col("names")[0]), F.lit(max(16, raw.count() // CHUNK))).alias("chunk"), "names")
+    met = short.groupBy("chunk").applyInPandas(_regather, "list long, part long, several boolean, names array<long>")
+    every = met.unionByName(raw.filter("several"))
+    members = written(_joined(every.groupBy("list", "part").agg(F.any_value("several").alias("several"), F.any_value("names").alias("names")), classes))
     discard(raw)
     search = Search(docs, classes, _shared_ids(known, classes))
     alone, parts = members.filter("NOT several"), members.filter("several")
