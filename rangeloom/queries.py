@@ -297,6 +297,45 @@ def _workload(df: DataFrame) -> list[RangeQuery]:
     return [read_query(df, sql) for sql in WORKLOAD]
 
 
+#: The ranges that WORKLOAD asks for, in SQL; an open end is null.
+_LOG_SQL = """
+log AS (
+  SELECT CAST(2 * i + j AS INTEGER) AS query_no, CAST(20 + 2 * i AS DOUBLE) AS q_lo, CAST(25 + 2 * i AS DOUBLE) AS q_hi,
+         CAST(50000 + 10000 * j AS DOUBLE) AS p_lo, CAST(NULL AS DOUBLE) AS d_lo, CAST(NULL AS DOUBLE) AS d_hi
+  FROM range(13) a(i), range(2) b(j)
+  UNION ALL
+  SELECT CAST(26 + i AS INTEGER), 30, NULL, NULL, CAST(9000 + 60 * i AS DOUBLE), CAST(9120 + 60 * i AS DOUBLE) FROM range(10) a(i)
+)
+"""
+
+
+@registered(f"""
+WITH {_LOG_SQL}, spans AS (
+  SELECT 'l_quantity' AS "column", q_lo AS a, q_hi AS b FROM log UNION ALL SELECT 'l_extendedprice', p_lo, NULL FROM log
+  UNION ALL SELECT 'l_partkey', NULL, NULL FROM log UNION ALL SELECT 'ship_day', d_lo, d_hi FROM log
+), ends AS (
+  {" UNION ALL ".join(f"SELECT '{c}' AS name, CAST(min({c}) AS DOUBLE) AS lo, CAST(max({c}) AS DOUBLE) AS hi FROM {ROWS_SQL}" for c in DIMS)}
+), bins AS (
+  SELECT "column", least(greatest(floor((coalesce(a, lo) - lo) / ((hi - lo) / 128)), 0), 127) AS f, ceil((coalesce(b, hi) - lo) / ((hi - lo) / 128)) - 1 AS l
+  FROM spans JOIN ends ON "column" = name WHERE coalesce(b, hi) >= lo AND coalesce(a, lo) <= hi
+), spread AS (
+  SELECT "column", unnest(generate_series(CAST(f AS BIGINT), CAST(least(greatest(l, f), 127) AS BIGINT))) AS bin, 1 / (least(greatest(l, f), 127) - f + 1) AS mass FROM bins
+), histogram AS (
+  SELECT name AS "column", n AS bin, coalesce(sum(mass), 0) AS mass FROM ends CROSS JOIN range(128) r(n) LEFT JOIN spread ON "column" = name AND bin = n GROUP BY 1, 2
+), apart AS (
+  SELECT "column", bin, CAST(1 AS DOUBLE) / 128 - mass / sum(mass) OVER (PARTITION BY "column") AS d FROM histogram
+), moved AS (
+  SELECT "column", abs(sum(d) OVER (PARTITION BY "column" ORDER BY bin)) AS e FROM apart
+)
+SELECT "column", round(sum(e), 6) AS skew FROM moved GROUP BY 1
+""")
+def column_skew(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the workload's spread over each dimension is from an even one."""
+    df = dims(spark, sf_dir)
+    found = [(c, workload.skew(workload.query_histogram(workload.spans_of(_workload(df), c, lo, hi), lo, hi, 128))) for c, (lo, hi) in bounds_of(df, list(DIMS)).items()]
+    return spark.createDataFrame(found, "column string, skew double").withColumn("skew", F.round("skew", 6))
+
+
 @registered()
 def workload_skew(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = dims(spark, sf_dir)
@@ -308,7 +347,18 @@ def workload_skew(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(out, "column string, skew double, cuts int, reduction double")
 
 
-@registered()
+@registered(f"""
+WITH RECURSIVE {_LOG_SQL}, widths AS (
+  SELECT query_no, coalesce(q_hi - q_lo, 1e6) AS q, coalesce(d_hi - d_lo, 1e6) AS d FROM log
+), scaled AS (
+  SELECT query_no, (q - min(q) OVER ()) / greatest(max(q) OVER () - min(q) OVER (), 1) AS q, (d - min(d) OVER ()) / greatest(max(d) OVER () - min(d) OVER (), 1) AS d FROM widths
+), near AS (
+  SELECT a.query_no AS a, b.query_no AS b FROM scaled a JOIN scaled b ON sqrt(pow(a.q - b.q, 2) + pow(a.d - b.d, 2)) <= 0.2
+), reach AS (
+  SELECT a, b FROM near UNION SELECT r.a, n.b FROM reach r JOIN near n ON r.b = n.a
+)
+SELECT CAST(dense_rank() OVER (ORDER BY root) - 1 AS INTEGER) AS type, query_no FROM (SELECT a AS query_no, min(b) AS root FROM reach GROUP BY 1)
+""")
 def query_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = dims(spark, sf_dir)
     kinds = workload.query_types(_workload(df), DIMS)
