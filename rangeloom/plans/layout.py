@@ -19,7 +19,7 @@ from rangeloom.functions.stats import bucket, equi_depth
 from rangeloom.operators.execute import partials
 from rangeloom.plans.model import QueryError, RangeQuery
 from rangeloom.plans.skeleton import CONDITIONAL, CostModel, Skeleton, correlations, initial_skeleton, most_filtered, optimise
-from rangeloom.plans.tree import Node, TreeOptions, build_tree, region_column
+from rangeloom.plans.tree import Node, TreeOptions, build_tree, region_column, touching
 
 
 #: Cells that the driver may hold as a zone map.
@@ -135,6 +135,21 @@ def choose_skeleton(df: DataFrame, columns: Sequence[str], queries: Sequence[Ran
     return optimise(start, found, CostModel(rows, domains), queries, options.iterations, max_cells=options.max_cells)
 
 
+def sort_columns(tree: Node, columns: Sequence[str], queries: Sequence[RangeQuery]) -> dict[int, str]:
+    """Each region's column to sort a cell's rows by: the one that most of the queries that meet its box constrain."""
+    return {leaf.region: most_filtered(columns, touching(queries, leaf.box) or queries) for leaf in tree.leaves()}
+
+
+def sort_value(chosen: dict[int, str]):
+    """The value of a row that its region is sorted by."""
+    out = None
+    for c in sorted(set(chosen.values())):
+        mine = F.col("region_id").isin([r for r, own in chosen.items() if own == c])
+        value = F.col(f"`{c}`").cast("double")
+        out = F.when(mine, value) if out is None else out.when(mine, value)
+    return out
+
+
 def build_layout(df: DataFrame, columns: Sequence[str], queries: Sequence[RangeQuery], path: str, options: LayoutOptions = LayoutOptions()) -> Layout:
     """Write a clustered copy of df for a sample workload. Rows with a null, NaN or infinite dimension are refused."""
     columns = tuple(columns)
@@ -146,7 +161,7 @@ def build_layout(df: DataFrame, columns: Sequence[str], queries: Sequence[RangeQ
     placed = assign_cells(df.withColumn("_row_id", F.monotonically_increasing_id().cast("string")), tree, skeleton)
     placed = placed.withColumn("cell_key", cell_key(F.col("region_id").cast("long"), F.col("cell_id")))
     # a range shuffle splits large regions over tasks and keeps each region's cells in order
-    placed.repartitionByRange("cell_key").sortWithinPartitions("cell_key", most_filtered(columns, queries)).write.mode("overwrite").partitionBy("region_id").parquet(f"{path}/main")
+    placed.repartitionByRange("cell_key").sortWithinPartitions("cell_key", sort_value(sort_columns(tree, columns, queries))).write.mode("overwrite").partitionBy("region_id").parquet(f"{path}/main")
     spark = df.sparkSession
     cell_table(spark.read.parquet(f"{path}/main"), columns).write.mode("overwrite").parquet(f"{path}/cells")
     meta = json.dumps({"columns": columns, "tree": tree.to_dict(), "skeleton": skeleton.to_dict(), "rows": tree.rows})

@@ -61,7 +61,8 @@ def region_column(node: Node) -> Column:
     return out.otherwise(region_column(node.children[-1]))
 
 
-def _touching(queries: Sequence[RangeQuery], box: dict[str, tuple[float, float]]) -> list[RangeQuery]:
+def touching(queries: Sequence[RangeQuery], box: dict[str, tuple[float, float]]) -> list[RangeQuery]:
+    """The queries that meet a box."""
     def meets(q: RangeQuery) -> bool:
         return all((r.lo is None or r.lo <= box[c][1]) and (r.hi is None or r.hi >= box[c][0]) for c, r in q.where.ranges.items() if c in box)
 
@@ -117,7 +118,7 @@ def build_tree(df: DataFrame, columns: Sequence[str], queries: Sequence[RangeQue
         for node, own in split:
             if any(c.rows < options.min_rows * total for c in node.children) and min(c.rows for c in node.children) == 0:
                 _merge_empty(node)
-            frontier += [(c, _touching(own, c.box)) for c in node.children]
+            frontier += [(c, touching(own, c.box)) for c in node.children]
     for k, leaf in enumerate(root.leaves()):
         leaf.region = k
     return root

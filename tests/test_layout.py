@@ -1,4 +1,5 @@
 import random
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -10,10 +11,10 @@ from rangeloom.operators.delta import DeltaTable, MergePolicy
 from rangeloom.operators.execute import aggregate
 from rangeloom.operators.zorder import ZOrderTable
 from rangeloom.plans import rewrite
-from rangeloom.plans.layout import Layout, LayoutOptions, build_layout
+from rangeloom.plans.layout import Layout, LayoutOptions, build_layout, sort_columns, sort_value
 from rangeloom.plans.model import Aggregate, QueryError, Range, RangeQuery, Selection
 from rangeloom.plans.skeleton import CONDITIONAL, FUNCTIONAL, Correlations, CostModel, Skeleton, Strategy, initial_skeleton, optimise
-from rangeloom.plans.tree import TreeOptions
+from rangeloom.plans.tree import Node, TreeOptions
 from rangeloom.sources import tables
 from rangeloom.streaming.ingest import stream_inserts
 from rangeloom.streaming.shift import ShiftMonitor
@@ -49,6 +50,32 @@ def same(a, b):
     assert x == pytest.approx(y, rel=1e-9) if None not in x else x == y
 
 
+def test_each_region_is_sorted_by_the_column_that_its_queries_constrain(table, tmp_path):
+    queries = [query(d0=(a, a + 5)) for a in range(5, 40)] + [query(d2=(b, b + 5), d0=(70, 99)) for b in range(0, 60, 2)] + [query(d2=(b, b + 9)) for b in range(20)]
+    low, high = Node({"d0": (0.0, 60.0)}, region=0), Node({"d0": (60.0, 100.0)}, region=1)
+    chosen = sort_columns(Node({"d0": (0.0, 100.0)}, "d0", [60.0], [low, high]), ["d0", "d1", "d2"], queries)
+    assert chosen == {0: "d0", 1: "d2"}
+    path = str(tmp_path / "sorted")
+    placed = table.withColumn("region_id", (F.col("d0") >= 60).cast("int")).repartition(1).sortWithinPartitions("region_id", sort_value(chosen))
+    placed.write.parquet(path)
+    rows = table.sparkSession.read.parquet(path).collect()
+    for region, column in chosen.items():
+        own = [r[column] for r in rows if r["region_id"] == region]
+        assert own == sorted(own) and len(own) > 100
+
+
+def test_best_cuts_reach_the_least_skew_of_all_ways_to_cut():
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        histogram = rng.choice([0.0, 1.0, 5.0, 20.0], 16) + 0.01
+        cost = lambda ends: sum(workload.skew(histogram[a:b]) * histogram[a:b].sum() for a, b in zip(ends, ends[1:]))
+        ways = [(0, *c, 16) for n in range(8) for c in combinations(range(2, 16, 2), n)]
+        least = min(cost(w) for w in ways if all(b - a >= 4 for a, b in zip(w, w[1:])))
+        cuts, gain = workload.best_cuts(histogram, tolerance=-1.0)  # nothing is merged again
+        assert gain == pytest.approx(cost((0, 16)) - least)
+        assert cost((0, *cuts, 16)) == pytest.approx(least)
+
+
 def test_layout_prunes_and_keeps_every_row(layout, table):
     assert layout.main.count() == 6000 and len(layout.tree.leaves()) > 1
     assert layout.cells.agg(F.sum("n")).first()[0] == 6000
