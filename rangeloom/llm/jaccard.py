@@ -268,9 +268,9 @@ def gathered_lists(lists: list[np.ndarray], most: int) -> list[np.ndarray]:
 
 
 def _lists(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Lists of sets that share an entry, in parts: list, part, several (whether it has parts elsewhere or more than one), names."""
+    """Lists of sets that share an entry, in parts: list, part (0 of a list in one), several (whether it has parts elsewhere or more than one), names."""
     direct = rows[rows["list"].notna()]
-    out = [(int(k), xxhash.xxh3_64_intdigest(p) >> 1, True, np.frombuffer(p, "int64")) for k, p in zip(direct["list"], direct["names"])]
+    out = [(int(k), xxhash.xxh3_64_intdigest(p) >> 1 | 1, True, np.frombuffer(p, "int64")) for k, p in zip(direct["list"], direct["names"])]
     rows = rows[rows["list"].isna()]
     names = np.concatenate([np.repeat(np.frombuffer(n, "int64"), np.frombuffer(c, "uint32")) for n, c in zip(rows["names"], rows["counts"])] or [np.zeros(0, "int64")])
     values = np.concatenate([_unpack6(e) for e in rows["entries"]] or [np.zeros(0, "uint64")])
@@ -284,7 +284,7 @@ def _lists(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     def parts(name: int, own: np.ndarray) -> None:
         for k in range(0, len(own), PART):
             part = own[k : k + PART]
-            out.append((name, xxhash.xxh3_64_intdigest(part.tobytes()) >> 1, True, part))
+            out.append((name, xxhash.xxh3_64_intdigest(part.tobytes()) >> 1 | 1, True, part))
 
     for k in np.flatnonzero(np.diff(cuts) > 1):
         own = names[cuts[k] : cuts[k + 1]]
@@ -311,10 +311,11 @@ def _may_link(n: np.ndarray, m: np.ndarray, differ: np.ndarray) -> np.ndarray:
     return (9 * differ <= n + m) & (5 * np.minimum(n, m) >= 4 * np.maximum(n, m))
 
 
-def _of_list(n: np.ndarray, comp: np.ndarray, side: np.ndarray, sketches: list[bytes], nearest: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the pairs of one list part that may link across components; at most ``nearest`` partners of each set, or all."""
+def _of_list(n: np.ndarray, comp: np.ndarray, side: np.ndarray, sketches: list[bytes], nearest: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the pairs of one list part that may link across components (at most ``nearest`` partners of each set, or
+    all), and of the sets that have more partners. A pair left out has two of those, since each set picks its nearest."""
     cells = np.array([8 * len(s) for s in sketches])
-    found = [(np.zeros(0, "int64"), np.zeros(0, "int64"))]
+    found, more = [(np.zeros(0, "int64"), np.zeros(0, "int64"))], [np.zeros(0, "int64")]
     two = side.any()
     for c in np.unique(cells):
         # linking sizes are a quarter apart at most, so sketches of a pair have the same length or one has twice the other's
@@ -333,6 +334,7 @@ def _of_list(n: np.ndarray, comp: np.ndarray, side: np.ndarray, sketches: list[b
             a, b = own[x], own[right]
             may = _may_link(n[a][:, None], n[b][None, :], differ) & (comp[a][:, None] != comp[b][None, :]) & (least[x][:, None] | least[right][None, :])
             if nearest and len(right) > nearest:
+                more.append(a[may.sum(axis=1) > nearest])
                 differ = np.where(may, differ, np.inf)
                 at = np.argpartition(differ, nearest - 1, axis=1)[:, :nearest]
                 i, j = np.repeat(np.arange(len(x)), nearest), at.ravel()
@@ -341,7 +343,7 @@ def _of_list(n: np.ndarray, comp: np.ndarray, side: np.ndarray, sketches: list[b
             else:
                 i, j = np.nonzero(may)
             found.append((a[i], b[j]))
-    return tuple(np.concatenate(c) for c in zip(*found))
+    return *(np.concatenate(c) for c in zip(*found)), np.unique(np.concatenate(more))
 
 
 _WORK = "unit long, a long, a_name long, b long, b_name long, side int"
@@ -349,19 +351,21 @@ _WORK = "unit long, a long, a_name long, b long, b_name long, side int"
 
 def _propose(nearest: int | None):
     """Of many list parts, what to verify: pairs that may link across components (each set's nearest few, or all), and
-    blocks of sets (side 0 against side 1; b is the component) where pairs are dense. Dealt into units."""
+    blocks of sets (side 0 against side 1; b is the component) where pairs are dense. Dealt into units. Rows of side -2
+    are the sets with further partners: unit is the list, b the part, b_name the size."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["list", "part", "side", "component", "node", "one"], ignore_index=True)
         name, part, n, node, one, comp, side = (rows[c].to_numpy() for c in ("list", "part", "n", "node", "one", "component", "side"))
         sketches = rows["sketch"].tolist()
         cuts = np.flatnonzero(np.r_[True, (name[1:] != name[:-1]) | (part[1:] != part[:-1]), True])
-        found, blocks = [(np.zeros(0, "int64"), np.zeros(0, "int64"))], []
+        found, blocks, further = [(np.zeros(0, "int64"), np.zeros(0, "int64"))], [], [np.zeros(0, "int64")]
         seed = (int(name[0]) ^ int(part[0])) & ((1 << 62) - 1)
         for a, b in zip(cuts[:-1], cuts[1:]):
             if b - a < 2 or comp[a:b].min() == comp[a:b].max():
                 continue
-            i, j = _of_list(n[a:b], comp[a:b], side[a:b], sketches[a:b], nearest)
+            i, j, more = _of_list(n[a:b], comp[a:b], side[a:b], sketches[a:b], nearest)
+            further.append(more + a)
             if nearest is None and len(i) > DENSE * (b - a):
                 halves = [np.arange(a, b)[side[a:b] == s] for s in (0, 1)] if side[a:b].any() else [np.arange(a, b)] * 2
                 lefts, rights = ([h[k : k + BLOCK] for k in range(0, len(h), BLOCK)] for h in halves)
@@ -374,6 +378,8 @@ def _propose(nearest: int | None):
         unit = seed + np.cumsum(n[x] + n[y]) // UNIT
         out = [pd.DataFrame({"unit": unit, "a": node[x], "a_name": one[x], "b": node[y], "b_name": one[y], "side": np.full(len(x), -1)})]
         out[0] = out[0].drop_duplicates(["a", "a_name", "b", "b_name"])
+        at = np.concatenate(further)
+        out.append(pd.DataFrame({"unit": name[at], "a": node[at], "a_name": one[at], "b": part[at], "b_name": n[at], "side": np.full(len(at), -2)}))
         for k, sides in enumerate(blocks):
             for s, at in enumerate(sides):
                 out.append(pd.DataFrame({"unit": np.full(len(at), seed - 1 - k), "a": node[at], "a_name": one[at], "b": comp[at], "b_name": np.zeros(len(at), "int64"), "side": np.full(len(at), s)}))
@@ -509,40 +515,33 @@ class Search:
         several = now.groupBy(*by).agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select(*by)
         return written(now.join(several, list(by), "left_semi"))
 
-    def round(self, now: DataFrame, nearest: int | None) -> bool:
-        """Propose among placed members, verify and merge; whether links were found."""
+    def round(self, now: DataFrame, nearest: int | None) -> tuple[bool, DataFrame]:
+        """Propose among placed members, verify and merge; whether links were found, and the members with further partners."""
         n = now.count()
-        if not n:
-            return False
         dealt = now.join(self.sketches, ["node", "one"])
         if "side" not in now.columns:
             dealt = dealt.withColumn("side", F.lit(0))
         dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("list", "part"), F.lit(max(16, n // CHUNK))))
-        work = dealt.select("chunk", "list", "part", "side", "node", "one", "n", "component", "sketch").groupBy("chunk").applyInPandas(_propose(nearest), _WORK)
-        pairs = work.filter("side < 0").groupBy("a", "a_name", "b", "b_name").agg(F.min("unit").alias("unit"), F.min("side").alias("side"))
+        work = written(dealt.select("chunk", "list", "part", "side", "node", "one", "n", "component", "sketch").groupBy("chunk").applyInPandas(_propose(nearest), _WORK))
+        further = work.filter("side = -2").select(F.col("unit").alias("list"), F.col("b").alias("part"), (F.col("b") != 0).alias("several"), F.col("a").alias("node"), F.col("a_name").alias("one"), F.col("b_name").alias("n"))
+        further = written(further)
         pair = ["a", "a_name", "b", "b_name"]
-        if nearest is None:
-            work = written(work)
-            pairs = work.filter("side < 0").groupBy(*pair).agg(F.min("unit").alias("unit"), F.min("side").alias("side"))
-            if self.tried is not None:
-                pairs = pairs.join(self.tried, pair, "left_anti")
-            todo = written(pairs.select("unit", *pair, "side").unionByName(work.filter("side >= 0")))
-            discard(work)
-        else:
-            if self.tried is not None:
-                pairs = pairs.join(self.tried, pair, "left_anti")
-            todo = written(pairs.select("unit", *pair, "side"))
+        pairs = work.filter("side = -1").groupBy(*pair).agg(F.min("unit").alias("unit"), F.min("side").alias("side"))
+        if self.tried is not None:
+            pairs = pairs.join(self.tried, pair, "left_anti")
+        todo = written(pairs.select("unit", *pair, "side").unionByName(work.filter("side >= 0")))
+        discard(work)
         if todo.isEmpty():
-            return False
+            return False, further
         found = _verified(todo, self.docs)
         done = todo.filter("side < 0").select(*pair)
         self.tried = done if self.tried is None else self.tried.unionByName(done)
         if found.isEmpty():
-            return False
+            return False, further
         before, self.stars = self.stars, components(self.stars.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(found))
         discard(before)
         discard(found)
-        return True
+        return True, further
 
 
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -578,8 +577,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         merging = written(alone.select(*first.columns).unionByName(first))
     for _ in range(2):
         now = search.open(merging, "list", "part")
-        search.round(now, NEAREST)
-        discard(now)
+        # a set whose every partner in a part has been proposed is done there: only the others go on
+        _, further = search.round(now, NEAREST)
+        discard(now, merging)
+        merging = further
     while split:
         # one member of each component stands for it, so that parts of one group of near copies meet
         now = search.open(parts, "list")
@@ -587,11 +588,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         stand = now.groupBy("list", "component").agg(F.min(F.struct("node", "one", "n")).alias("s")).select("list", "s.*", "component")
         counts = stand.groupBy("list").agg(F.ceil(F.count("*") / PART).alias("p"))
         stand = written(stand.join(counts, "list").withColumn("part", F.pmod(F.xxhash64("component"), F.col("p"))).drop("p"))
-        more = split and search.round(stand, NEAREST)
+        more = False
+        if split:
+            more, further = search.round(stand, NEAREST)
+            discard(further)
         discard(now, stand)
         if not more:
             break
-    now = search.open(alone, "list").withColumn("side", F.lit(0)).select("list", "part", "side", "node", "one", "n", "component")
+    now = search.open(merging.filter("NOT several"), "list").withColumn("side", F.lit(0)).select("list", "part", "side", "node", "one", "n", "component")
     if split:
         rest = search.open(parts, "list")
         every = rest.groupBy("list").agg(F.collect_set("part").alias("parts"))
@@ -599,7 +603,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         rest = rest.withColumn("side", (F.col("part") > F.col("q")).cast("int")).withColumn("part", F.xxhash64(F.least("part", "q"), F.greatest("part", "q")))
         now = now.unionByName(rest.select(*now.columns))
     search.round(now, None)
-    discard(members)
+    discard(members, merging)
     named = classes.select("one", "two", "n", "node").join(search.stars, "node", "left").select("one", "two", "n", F.coalesce("component", "node").alias("component_id"))
     rows = described.select("doc_id", F.col("n").alias("n_shingles"), "one", "two", "n")
     full = rows.filter("n > 0").join(named, ["one", "two", "n"], "left").select("doc_id", "n_shingles", "component_id")
